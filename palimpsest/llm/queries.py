@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, leakage, splitting, textform
+from palimpsest.llm import components, leakage, nearcopies, splitting, textform
 from palimpsest.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _near_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    both = nearcopies.texts_of(table(spark, folder, "documents"), "documents", "doc_id").unionByName(nearcopies.texts_of(table(spark, folder, "passages"), "passages", "passage_no"))
+    return nearcopies.near_copies(both, threshold=0.6, least=40)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nearcopies.record_pairs(*_near_copies(spark, folder))
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return nearcopies.record_classes(*_near_copies(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.must_be_cut(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "para_index")
 
@@ -46,4 +59,4 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.without_leaks(docs.select("doc_id", "source", "n_chars"), leakage.leaks(docs, table(spark, folder, "eval_items")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_forms, p7_found, p9_found, p9_leaks, p9_kept)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_pieces, p5_found, p5_forms, p7_found, p9_found, p9_leaks, p9_kept)}
