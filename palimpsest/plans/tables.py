@@ -13,11 +13,30 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once in a session, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_palimpsest_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    out = tempfile.mkdtemp(prefix="palimpsest-code-")
+    atexit.register(shutil.rmtree, out, ignore_errors=True)
+    archive = f"{out}/{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for path in sorted(root.rglob("*.py")):
+            target.write(path, path.relative_to(root.parent))
+    context.addPyFile(archive)  # from the driver, over Spark's own file server
+    context._palimpsest_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
