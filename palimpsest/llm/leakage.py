@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textform import words
+from palimpsest.llm.textform import word_keys
 
 #: Test items that are searched at once; a larger test set is split into blocks of about this many.
 BLOCK_ITEMS = 20_000
@@ -62,12 +62,12 @@ class TestSet:
     __test__ = False
 
     def __init__(self, rows: list[tuple[int, str]], least: int):
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes | str, int] = {}
         self.least = least
         seqs, owners, starts, items = [], [], [], []
         at = 0
         for key, text in rows:
-            seq = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            seq = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in word_keys(text)]
             if len(seq) < least:
                 continue
             items.append(key)
@@ -76,6 +76,8 @@ class TestSet:
                 starts.append(at + s)
             seqs += [*seq, 0]
             at += len(seq) + 1
+        for w in [w for w in self.vocabulary if isinstance(w, bytes)]:  # a text outside Latin-1 may hold it too
+            self.vocabulary.setdefault(w.decode("latin-1"), self.vocabulary[w])
         self.items = items
         self.seq = np.array([*seqs, *[0] * (least + 1)], np.int64)
         self.owner, self.start = np.array(owners, np.int64), np.array(starts, np.int64)
@@ -86,7 +88,7 @@ class TestSet:
         numbers: list[int] = []
         bounds = [0]
         for text in texts:
-            numbers += [get(w, 0) for w in words(text)]
+            numbers += [get(w, 0) for w in word_keys(text)]
             numbers.append(0)
             bounds.append(len(numbers))
         line = np.array(numbers, np.int64)

@@ -1,7 +1,8 @@
 """Near-duplicate records with small edits (problem 1): count vectors in R-trees.
 
-Records are compared by their distinct runs of five words. Every run is hashed into one of 64
-groups; a record becomes the point of its group counts. The overlap of two records is at most
+Records are compared by their distinct runs of five words. Every run is hashed into one of 64 to
+512 groups, the more the longer the record; a record becomes the point of its group counts. Groups
+halve by adding neighbours, so points of different resolution compare at the lower one. The overlap of two records is at most
 the sum over the groups of the smaller count, and for two boxes of points the sum of the smaller
 upper corners, so an R-tree over the points is joined with itself from the top down and a pair of
 boxes is dropped when even this bound is below what the threshold needs for their sizes.
@@ -22,40 +23,45 @@ holds more than two blocks; nothing is dropped.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textform import words
+from palimpsest.llm.textform import word_keys
 from palimpsest.plans.tables import materialize
 
 RUN = 5  # words in a run
-GROUPS = 64  # coordinates of a point
+GROUPS = (64, 128, 256, 512)  # coordinates of a point: at least half as many as runs, while there are more
 KEYS = 16  # cells of a record
 RARE = 2 / 3  # the part of a record's runs its cells come from
 COUNTERS = 1 << 18  # counters of run frequency
+FULL = 4000  # what a count of 15 or more stands for in the bound, which is not used for records of more than 128,000 runs
 LEAF = 16  # entries of an R-tree node
 TILE = 4096  # records of a cell in one task
 FULL_CLASS = 100  # members of a class that are expanded into all pairs
 BROADCAST_ROWS = 500_000  # ids of at most 24 bytes that may be broadcast: 12 MB
 
 _MULTIPLIERS = (np.random.default_rng(5).integers(1, 1 << 62, KEYS + 4, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_word_hash: dict[str, int] = {}
+_word_hash: dict[bytes | str, int] = {}
 
 
-def _hash(word: str) -> int:
-    if len(_word_hash) > 500_000:
-        _word_hash.clear()
-    h = _word_hash[word] = xxhash.xxh3_64_intdigest(word)
+def _hash(word: bytes | str) -> int:
+    h = _word_hash[word] = xxhash.xxh3_64_intdigest(word.decode("latin-1") if isinstance(word, bytes) else word)
     return h
 
 
 def _runs(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct run hashes of each text, concatenated, and where each text's begin (with the end)."""
     known = _word_hash
-    flat = np.fromiter((known[w] if w in known else _hash(w) for t in texts for w in t), np.uint64)
+    if len(known) > 500_000:
+        known.clear()
+    every = list(chain.from_iterable(texts))
+    for w in set(every).difference(known):
+        _hash(w)
+    flat = np.fromiter(map(known.__getitem__, every), np.uint64, len(every))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     n = len(flat)
     if n < RUN:
@@ -75,13 +81,14 @@ def _runs(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return mixed, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def _class(tbl: str, text: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest("\n".join((tbl, *text))) - (1 << 63)
+def _class(tbl: str, text: list[bytes] | list[str]) -> int:
+    joined = b"\n".join(text) if isinstance(text[0], bytes) else "\n".join(text).encode("utf-8", "surrogatepass")
+    return xxhash.xxh3_64_intdigest(tbl.encode() + b"\n" + joined) - (1 << 63)
 
 
 def _tokenized(batch, least: int):
     """(tables, ids, word lists) of the texts of a batch with at least ``least`` words."""
-    out = [(t, i, w) for t, i, x in zip(*(c.to_pylist() for c in batch.columns[:3])) if len(w := words(x)) >= least]
+    out = [(t, i, w) for t, i, x in zip(*(c.to_pylist() for c in batch.columns[:3])) if len(w := word_keys(x)) >= max(least, 1)]
     return tuple(map(list, zip(*out))) or ([], [], [])
 
 
@@ -113,20 +120,49 @@ def _add_counts(key, table):
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
 
-def _points(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Group counts as half bytes (15: 15 or more), 32 bytes a record."""
-    n = len(starts) - 1
-    owner = np.repeat(np.arange(n), np.diff(starts))
-    group = ((runs * _MULTIPLIERS[KEYS + 1]) >> np.uint64(58)).astype(np.int64)
-    counts = np.minimum(np.bincount(owner * GROUPS + group, minlength=n * GROUPS), 15).astype(np.uint8).reshape(n, GROUPS)
-    return counts[:, ::2] << 4 | counts[:, 1::2]
+def _points(runs: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Group counts of each record as half bytes (15: 15 or more)."""
+    size = np.diff(starts)
+    grade = np.searchsorted(np.array(GROUPS[:-1]) * 2, size)
+    out: list[bytes] = [b""] * len(size)
+    mixed = runs * _MULTIPLIERS[KEYS + 1]
+    owner = np.repeat(np.arange(len(size)), size)
+    for k, groups in enumerate(GROUPS):
+        own = np.flatnonzero(grade == k)
+        if own.size:
+            line = np.cumsum(grade == k) - 1
+            mine = grade[owner] == k
+            group = (mixed[mine] >> np.uint64(65 - groups.bit_length())).astype(np.int64)
+            counts = np.minimum(np.bincount(line[owner[mine]] * groups + group, minlength=len(own) * groups), 15).astype(np.uint8).reshape(-1, groups)
+            for i, packed in zip(own.tolist(), counts[:, ::2] << 4 | counts[:, 1::2]):
+                out[i] = packed.tobytes()
+    return out
 
 
-def _unpacked(packed: np.ndarray) -> np.ndarray:
-    out = np.empty((len(packed), GROUPS), np.int32)
-    out[:, ::2], out[:, 1::2] = packed >> 4, packed & 15
-    out[out == 15] = 1 << 20
-    return out
+class Points:
+    """Packed points of several resolutions."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.groups = np.fromiter(map(len, blobs), np.int64, len(blobs)) * 2
+        self.line = np.zeros(len(blobs), np.int64)
+        self.packed = {}
+        for g in np.unique(self.groups).tolist():
+            own = np.flatnonzero(self.groups == g)
+            self.line[own] = np.arange(len(own))
+            self.packed[g] = np.frombuffer(b"".join(blobs[i] for i in own.tolist()), np.uint8).reshape(-1, g // 2)
+
+    def at(self, rows: np.ndarray, groups: int) -> np.ndarray:
+        """The points of ``rows`` in ``groups`` coordinates, no more than any of them has."""
+        out = np.empty((len(rows), groups), np.uint16)
+        for g, packed in self.packed.items():
+            own = np.flatnonzero(self.groups[rows] == g)
+            if own.size:
+                half = packed[self.line[rows[own]]]
+                full = np.empty((len(own), g), np.uint16)
+                full[:, ::2], full[:, 1::2] = half >> 4, half & 15
+                full[full == 15] = FULL
+                out[own] = full if g == groups else full.reshape(len(own), groups, -1).sum(2, dtype=np.uint16)
+        return out
 
 
 def _second_pass(frequency: np.ndarray, least: int):
@@ -164,8 +200,7 @@ def _second_pass(frequency: np.ndarray, least: int):
                 h ^= h >> np.uint64(32)
                 low = np.minimum.reduceat(h * _MULTIPLIERS[KEYS + 2], begin)
                 keys.append((low ^ salt ^ _MULTIPLIERS[k]).view(np.int64))
-            blobs = [p.tobytes() for p in points]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(cls, KEYS)), pa.array(np.tile(size, KEYS).astype(np.int32)), pa.array(blobs * KEYS, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(cls, KEYS)), pa.array(np.tile(size, KEYS).astype(np.int32)), pa.array(points * KEYS, pa.binary())], schema=schema)
 
     return run
 
@@ -180,8 +215,8 @@ def _possible(points_a, points_b, size_a, size_b, threshold) -> np.ndarray:
     out = np.empty(len(size_a), bool)
     for at in range(0, len(out), 1 << 15):
         s = slice(at, at + (1 << 15))
-        bound = np.minimum(np.minimum(points_a[s], points_b[s]).sum(1), np.minimum(size_a[s][:, 1], size_b[s][:, 1]))
-        out[s] = bound >= _need(size_a[s][:, 0], size_b[s][:, 0], threshold)
+        bound = np.minimum(np.minimum(points_a[s], points_b[s]).sum(1, dtype=np.int32), np.minimum(size_a[s][:, 1], size_b[s][:, 1]))
+        out[s] = (bound >= _need(size_a[s][:, 0], size_b[s][:, 0], threshold)) | (size_a[s][:, 1] >= FULL * GROUPS[0] // 2)
     return out
 
 
@@ -232,14 +267,23 @@ def _join_cells(keys, cls, size, points, threshold) -> tuple[np.ndarray, np.ndar
     a, b = np.concatenate(left), np.concatenate(right)
     different = cls[a] != cls[b]
     a, b = a[different], b[different]
-    spans = np.stack((size, size), 1)
-    kept = np.concatenate([_possible(_unpacked(points[a[s]]), _unpacked(points[b[s]]), spans[a[s]], spans[b[s]], threshold) for s in (slice(k, k + 65536) for k in range(0, max(len(a), 1), 65536))])
-    found = [(cls[a[kept]], cls[b[kept]])]
+    near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+    a, b = a[near], b[near]
+    found = [(a, b)]
     for lo, hi in zip(edge[:-1][count > LEAF], edge[1:][count > LEAF]):
-        own, at = np.unique(cls[lo:hi], return_index=True)
-        x, y = RTree(_unpacked(points[lo:hi][at]), size[lo:hi][at]).join(threshold)
-        found.append((own[x], own[y]))
-    x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        at = np.unique(cls[lo:hi], return_index=True)[1]
+        x, y = RTree(points.at(lo + at, int(points.groups[lo + at].min())), size[lo + at]).join(threshold)
+        found.append((lo + at[x], lo + at[y]))
+    a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    # the bound of each pair that is left, in the highest resolution both have
+    spans, kept = np.stack((size, size), 1), np.zeros(len(a), bool)
+    common = np.minimum(points.groups[a], points.groups[b])
+    for g in points.packed:
+        own = np.flatnonzero(common == g)
+        for at in range(0, len(own), 16384):
+            k = own[at : at + 16384]
+            kept[k] = _possible(points.at(a[k], g), points.at(b[k], g), spans[a[k]], spans[b[k]], threshold)
+    x, y = cls[a[kept]], cls[b[kept]]
     return np.minimum(x, y), np.maximum(x, y)
 
 
@@ -255,8 +299,7 @@ def _cell_joiner(threshold: float, tile: int | None):
         def arrays(tables):
             whole = pa.concat_tables(tables).combine_chunks()
             keys, cls, size = (whole.column(k).to_numpy() for k in ("key", "cls", "n"))
-            blob = b"".join(whole.column("point").to_pylist())
-            return keys, cls, size, np.frombuffer(blob, np.uint8).reshape(-1, GROUPS // 2)
+            return keys, cls, size, Points(whole.column("point").to_pylist())
 
         def joined(tables):
             keys, cls, size, points = arrays(tables)
