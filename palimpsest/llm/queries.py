@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, leakage, nearcopies, splitting, textform
+from palimpsest.llm import components, leakage, nearcopies, neighbours, packing, residue, sharedspans, splitting, textform
 from palimpsest.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return nearcopies.record_classes(*_near_copies(spark, folder))
 
 
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, folder, "vector_records"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.linked(p2_neighbours(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.must_be_cut(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "para_index")
 
@@ -34,6 +42,15 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sharedspans.shared_spans(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p4_shared(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return sharedspans.shared_amounts(docs, sharedspans.shared_spans(docs)).withColumnRenamed("id", "doc_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return textform.look_alike_pairs(table(spark, folder, "documents")).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
@@ -46,6 +63,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.groups(table(spark, folder, "match_evidence"))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(p8_containers(spark, folder))
+
+
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).withColumnRenamed("id", "doc_id")
 
@@ -59,5 +84,18 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.without_leaks(docs.select("doc_id", "source", "n_chars"), leakage.leaks(docs, table(spark, folder, "eval_items")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_pieces, p5_found, p5_forms, p7_found, p9_found, p9_leaks, p9_kept)}
+def p10_residue(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_residue(spark, folder).select("doc_id")
+
+
+def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return residue.without_residue(docs.select("doc_id", "source", "n_chars"), residue.residue(docs))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_shared, p5_found, p5_forms, p7_found, p8_containers, p8_report, p9_found, p9_leaks, p9_kept, p10_found, p10_residue, p10_kept)}
 ORACLES: dict[str, str] = {}
