@@ -13,21 +13,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Every character Python's ``str.strip`` removes, without the line feed.
-EDGE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0  -     　"
+EDGE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _LINE_END = re.compile("\r\n?")
 _BLANKS = re.compile("[ \t\f\v]+")
 _EDGES = re.compile(f"(?:(?<=\n)|\\A)[{EDGE}]+|[{EDGE}]+(?=\n|\\Z)")
 _GAPS = re.compile("\n{3,}")
-_PLAIN = re.compile(f"[\t\x0b\x0c\r\x1c-\x1f\x85]|  | \n|\n |\n\n\n|[\xa0  -     　](?:\n|\\Z)|(?:\n|\\A)[\xa0  -     　]")
+_ODD_EDGE = re.compile(f"[{EDGE}]\n|\n[{EDGE}]")
 
 
 def normalize(text: str) -> str:
     """Whitespace-normalised text."""
-    if _PLAIN.search(text) is None:
-        return text.strip()
-    text = _BLANKS.sub(" ", _LINE_END.sub("\n", text))
-    return _GAPS.sub("\n\n", _EDGES.sub("", text)).strip()
+    if not text.isprintable():  # the line feed is not printable either
+        if "\r" in text:
+            text = _LINE_END.sub("\n", text)
+        if "\t" in text or "\f" in text or "\v" in text:
+            text = _BLANKS.sub(" ", text)
+    if "  " in text:
+        text = _BLANKS.sub(" ", text)
+    if "\n" in text:
+        if _ODD_EDGE.search(text):
+            text = _EDGES.sub("", text)
+        if "\n\n\n" in text:
+            text = _GAPS.sub("\n\n", text)
+    return text.strip()
 
 
 def paragraphs(normalized: str) -> list[tuple[int, str]]:

@@ -1 +1 @@
-
+"""Operators on DataFrames of documents, chunks and evidence."""
