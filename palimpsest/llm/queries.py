@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, leakage, nearcopies, neighbours, packing, residue, sharedspans, splitting, textform
+from palimpsest.llm import components, language, leakage, nearcopies, neighbours, packing, residue, sharedspans, splitting, textform
 from palimpsest.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,19 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return textform.consistent_documents(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p6_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record's languages with their confidence; documents of problem 10 and texts without letters drop out."""
+    docs, pairs = table(spark, folder, "documents"), table(spark, folder, "pair_examples")
+    network = language.fit(docs)
+    kept = residue.without_residue(docs.select("doc_id", "lang", "text"), residue.residue(docs))
+    both = language.label_documents(kept, network).select(F.lit("documents").alias("tbl"), "*")
+    return both.unionByName(language.label_pairs(pairs, network).select(F.lit("pair_examples").alias("tbl"), "*")).distinct()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.to_correct(p6_labels(spark, folder)).select("tbl", "rec_id", "segment", "lang").distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.groups(table(spark, folder, "match_evidence"))
 
@@ -97,5 +110,5 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(docs.select("doc_id", "source", "n_chars"), residue.residue(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_shared, p5_found, p5_forms, p7_found, p8_containers, p8_report, p9_found, p9_leaks, p9_kept, p10_found, p10_residue, p10_kept)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_shared, p5_found, p5_forms, p6_found, p6_labels, p7_found, p8_containers, p8_report, p9_found, p9_leaks, p9_kept, p10_found, p10_residue, p10_kept)}
 ORACLES: dict[str, str] = {}
