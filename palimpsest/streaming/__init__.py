@@ -1 +1 @@
-
+"""Incremental index building with Structured Streaming."""
