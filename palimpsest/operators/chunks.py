@@ -119,10 +119,13 @@ def offset_window(text: Column, start: Column, length: Column, pad: int = 80) ->
 def obfuscate(items: Column) -> Column:
     """Words without every ninth, with neighbours swapped at places 10, 27, 44, 61 and 78."""
     kept = F.filter(items, lambda w, i: (i + 1) % 9 != 0)
-    swaps = (10, 27, 44, 61, 78)
-    at = lambda i: F.try_element_at(kept, i + 1)
+    none = F.array(F.lit(None).cast("string"))
     size = F.size(kept)
-    moved = F.transform(kept, lambda w, i: F.when(i.isin(*swaps) & (i + 1 < size), at(i + 1)).when((i - 1).isin(*swaps), at(i - 1)).otherwise(w))
+    after = F.concat(F.slice(kept, F.lit(2), F.greatest(size - 1, F.lit(0))), none)
+    before = F.concat(none, F.slice(kept, F.lit(1), F.greatest(size - 1, F.lit(0))))
+    swaps = (10, 27, 44, 61, 78)
+    rows = F.arrays_zip(kept.alias("w"), after.alias("n"), before.alias("p"))
+    moved = F.transform(rows, lambda x, i: F.when(i.isin(*swaps) & x["n"].isNotNull(), x["n"]).when((i - 1).isin(*swaps), x["p"]).otherwise(x["w"]))
     return F.array_join(moved, " ")
 
 
