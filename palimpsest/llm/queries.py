@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import components, language, leakage, nearcopies, neighbours, packing, residue, sharedspans, splitting, textform
+from palimpsest.llm.oracles import ORACLES  # noqa: F401 - the entry module takes it from here
 from palimpsest.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,4 +112,4 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_shared, p5_found, p5_forms, p6_found, p6_labels, p7_found, p8_containers, p8_report, p9_found, p9_leaks, p9_kept, p10_found, p10_residue, p10_kept)}
-ORACLES: dict[str, str] = {}
+
