@@ -11,7 +11,8 @@ in both (winnowing: the grams of each window that hash lowest are its anchors).
    array, Burrows-Wheeler transform in a wavelet matrix of packed bits, prefix counts. All contexts
    are streamed through it together: backward search extends every match to the left, and where
    no other record's text would remain in the interval, the match is cut at its right end to the
-   parent interval. The matching statistics of ``LEAST`` and above are the shared intervals;
+   parent interval. The matching statistics of ``LEAST`` and above are the shared intervals. An
+   anchor whose records all have the same context needs no search: that context is shared whole;
 4. intervals are laid back on the records and merged.
 
 An anchor in more than ``HOT`` different contexts (a passage in a large part of all records) is
@@ -138,6 +139,9 @@ def _context_pass(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 20_000]), schema)], schema=schema)
 
 
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)  # the bits below each place of a word
+
+
 class Bits:
     """Packed bits with rank: ones before a position from a count per word and a popcount."""
 
@@ -150,8 +154,7 @@ class Bits:
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        return self.before.take(word) + np.bitwise_count(self.words.take(word) & _BELOW.take(at & 63))
 
 
 class FMIndex:
@@ -167,7 +170,7 @@ class FMIndex:
         for k in range(first):
             key = key << bits | wide[k : n + k]
         span, levels = first, []
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         while True:
             ordered = key[order]
             rank = np.empty(n + 1, np.int32)
@@ -176,15 +179,22 @@ class FMIndex:
             levels.append((span, rank))
             if rank.max() == n or span >= 2 * LEAST:
                 break
-            ahead = np.minimum(np.arange(n) + span, n)
-            key = rank[:n].astype(np.int64) << 32 | rank[ahead]
-            order = np.argsort(key, kind="stable")
-            span *= 2
+            # three ranks in a key where they fit 63 bits, else two: the sorted length triples or doubles
+            parts, width = (3, 21) if n < 1 << 21 else (2, 31)
+            key = rank[:n].astype(np.int64)
+            for k in range(1, parts):
+                shifted = np.zeros(n, np.int64)
+                shifted[: max(0, n - k * span)] = rank[k * span : n]
+                key = key << width | shifted
+            order = np.argsort(key)
+            span *= parts
         self.sa = order
         lcp, i, j = np.zeros(n, np.int32), order[:-1], order[1:]
         for span, rank in reversed(levels):
-            x, y = np.minimum(i + lcp[1:], n), np.minimum(j + lcp[1:], n)
-            lcp[1:] += np.where((rank[x] == rank[y]) & (x < n) & (y < n), span, 0).astype(np.int32)
+            for _ in range(2):  # a level may match as often as the next one has parts, less one
+                x, y = np.minimum(i + lcp[1:], n), np.minimum(j + lcp[1:], n)
+                same = (rank.take(x) == rank.take(y)) & (x < n) & (y < n)
+                lcp[1:] += np.where(same, span, 0).astype(np.int32)
         for _ in range(first):  # what is left is shorter than the first span
             x, y = np.minimum(i + lcp[1:], n - 1), np.minimum(j + lcp[1:], n - 1)
             same = (seq[x] == seq[y]) & (i + lcp[1:] < n) & (j + lcp[1:] < n)
@@ -201,17 +211,22 @@ class FMIndex:
             bit = (bwt >> b & 1).astype(np.uint8)
             self.levels.append((b, Bits(bit), n - int(bit.sum())))
             bwt = np.concatenate((bwt[bit == 0], bwt[bit == 1]))
+        every = np.arange(self.sigma)
+        self.base = self.counts[:-1] - self._down(every, np.zeros(self.sigma, np.int64))
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places in the lowest level of the wavelet matrix that belong to places in the transform."""
+        for b, bits, zeros in self.levels:
+            ones = bits.rank(at)
+            at = np.where(symbol & (1 << b), ones + zeros, at - ones)
+        return at
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of symbol + match, from the intervals of the matches."""
         m = len(lo)
-        at = np.concatenate((lo, hi, np.zeros(m, np.int64)))
-        for b, bits, zeros in self.levels:
-            ones = bits.rank(at)
-            one = np.tile((symbol >> b & 1).astype(bool), 3)
-            at = np.where(one, zeros + ones, at - ones)
-        base = self.counts[symbol]
-        return base + at[:m] - at[2 * m :], base + at[m : 2 * m] - at[2 * m :]
+        at = self._down(np.concatenate((symbol, symbol)), np.concatenate((lo, hi)))
+        base = self.base[symbol]
+        return base + at[:m], base + at[m:]
 
     def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The smallest larger LCP interval, and the length of what its suffixes share."""
@@ -295,25 +310,37 @@ def _shard_pass(batches):
     import pyarrow as pa
 
     schema = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    alone: list[tuple] = []  # results of anchors with one context, the same in all their records
     held: list[tuple] = []
+    run: list[tuple] = []
     size = 0
 
     def flush():
-        rows = []
-        spans = shared_windows([r[2] for r in held], [r[3] for r in held], [r[3] != r[4] for r in held])
+        rows = alone.copy()
+        spans = shared_windows([r[2] for r in held], [r[3] for r in held], [r[3] != r[4] for r in held]) if held else []
         for (gram, ctx, *_), found in zip(held, spans):
             rows += ((gram, ctx, a, b) for a, b in found)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, schema)], schema=schema)
 
+    def close():
+        if len(run) > 1:
+            held.extend(run)
+            return sum(len(r[2]) + 1 for r in run)
+        if run and run[0][3] != run[0][4] and len(run[0][2]) >= LEAST:
+            alone.append((run[0][0], run[0][1], 0, len(run[0][2])))
+        return 0
+
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size > SHARD_CHARS and row[0] != held[-1][0]:
-                yield flush()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[2]) + 1
-    if held:
-        yield flush()
+            if run and row[0] != run[0][0]:
+                size += close()
+                run = []
+                if size > SHARD_CHARS or len(alone) > 20_000:
+                    yield flush()
+                    held, alone, size = [], [], 0
+            run.append(row)
+    close()
+    yield flush()
 
 
 def _window_pass(batches):
