@@ -107,9 +107,10 @@ def _first_round(capacity: int, hosts: int):
     def run(batches):
         import pyarrow as pa
 
-        rows = pa.Table.from_batches(batches).combine_chunks()
-        if not len(rows):
+        held = list(batches)
+        if not held:
             return
+        rows = pa.Table.from_batches(held).combine_chunks()
         rows = rows.sort_by([("size", "descending"), ("id", "ascending"), ("piece", "ascending")])
         task = TaskContext.get().partitionId()
         sizes = rows.column("size").to_numpy().astype(np.int64)

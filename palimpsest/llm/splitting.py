@@ -46,7 +46,7 @@ def _cut(text: str, lo: int, hi: int) -> int:
 
 def _start(text: str, lo: int, end: int, overlap: int) -> int:
     """Where the piece after a cut at ``end`` begins: at the first word of the overlap, or else at a blank."""
-    first = max(lo, end - overlap)
+    first = min(max(lo + 1, end - overlap), end - 1)
     for p in range(max(first, 1), end):
         if text[p - 1].isspace() and not text[p].isspace():
             return p
