@@ -128,7 +128,7 @@ def resolve_sources(evidence: DataFrame, sources: DataFrame, chunk_id: str, sour
 def rerank(evidence: DataFrame, score: Column) -> DataFrame:
     """Evidence with a new score where ``score`` is not null: clamped, rounded, noted in the explanation."""
     given = score.isNotNull()
-    return evidence.withColumn("explanation", F.when(given, F.concat("explanation", F.lit(" Reranker score applied."))).otherwise(F.col("explanation"))).withColumn("score", F.when(given, F.round(clamp(score), 4)).otherwise(F.col("score")))
+    return evidence.withColumn("explanation", F.when(given, F.concat(F.coalesce("explanation", F.lit("")), F.lit(" Reranker score applied."))).otherwise(F.col("explanation"))).withColumn("score", F.when(given, F.round(clamp(score), 4)).otherwise(F.col("score")))
 
 
 def rerank_spans(evidence: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str, make: Callable[[], RerankerBackend]) -> DataFrame:
