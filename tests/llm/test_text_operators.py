@@ -182,6 +182,42 @@ def test_labels_spread_through_near_duplicates(spark):
     assert {r.doc_id for r in residue.without_residue(docs, residue.residue(docs)).collect()} == {4, 5, 6}
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(11)
+    words = "the page you asked for could not be found on this server because it was moved by our office last year".split()
+    front = [" ".join(rng.choices(words, k=rng.randrange(3, 16))) for _ in range(40)]
+    texts = []
+    for text in front * 6:
+        other = list(text)
+        for _ in range(rng.randrange(1, 2 + len(text) // 4)):
+            k = rng.randrange(len(other))
+            other[k : k + rng.randrange(2)] = rng.choice(("", "x", "e", " "))
+        texts.append("".join(other))
+    expected = {t for t in texts if any(5 * edit_distance(t, f) <= max(len(t), len(f)) for f in front)}
+    spread = spark.createDataFrame(list(enumerate(texts)), "h bigint, piece string")
+    seeds = spark.createDataFrame(list(enumerate(front)), "h bigint, piece string")
+    got = {r.piece for r in residue.near_duplicates(spread, seeds, len(front)).collect()}
+    assert got == expected and 0 < len(expected) < len(set(texts))
+
+
+def test_labels_reach_all_of_the_similarity(spark):
+    seed = "Your link has expired, so the page you asked for could not be found on this server"
+    near = "The old link has expired, so the page you requested could not be found on this server"
+    a, b = residue.masked(seed), residue.masked(near)
+    assert residue.trusted(a) and not residue.trusted(b) and 0.8 <= 1 - edit_distance(a, b) / len(b) < 0.85
+    docs = spark.createDataFrame([(1, seed), (2, near), (3, "The old server was found in the office, so the page was moved")], "doc_id bigint, text string")
+    assert {r.id for r in residue.residue(docs).collect()} == {1, 2}
+
+
 SENTENCES = {
     "en": "the river changed its course and the report was never closed because the records were incomplete",
     "de": "der fluss änderte seinen lauf und der bericht wurde nie geschlossen weil die akten unvollständig waren",
