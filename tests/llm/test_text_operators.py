@@ -171,6 +171,14 @@ def test_residue_rules_and_decoys():
         assert not field and not any(map(residue.trusted, found)), text
 
 
+def test_filler_of_ordinary_text():
+    usual = "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+    for text in (*usual.split(". "), "Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas"):
+        assert any(map(residue.trusted, residue.pieces(text)[1])), text
+    for text in ("Est-ce que le lac est encore libre?", "Sed non satiata is a poem of 1857", "In vitae patrum the monks are named", "a in id at do"):
+        assert not any(map(residue.trusted, residue.pieces(text)[1])), text
+
+
 def test_labels_spread_through_near_duplicates(spark):
     seed = "Please enable JavaScript to read this long and very particular notice of the archive reading room at the old harbour office"
     near = "Plaese enable JavaScript to read this long and very particular notice of the archive reading room at the old harbour office"
