@@ -12,6 +12,7 @@ combining accents are normalised as well; raised digits, letter case and accents
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -227,31 +228,21 @@ def form_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", full_pairs: int = 10_000) -> DataFrame:
     """Pairs (id_a < id_b) of texts that differ after whitespace normalisation but share their consistent form.
 
-    Texts are grouped by form, copies inside a group by their normalised text (one row for each
-    distinct text leaves each task). Up to ``full_pairs`` possible pairs of members, a group gives
-    every pair of members with different texts. A larger group is linked through its smallest
-    member: that member with each member of another text, and the smallest member of every other
-    text with each member of the first text. So no text loses its link, and the output stays in
-    proportion to the rows, however many copies a text has. Empty input gives no rows.
+    Every such pair is given, however many copies a text has. Texts are grouped by form, the
+    members with the same normalised text are put into cells, so that two cells have about
+    ``full_pairs`` pairs, and cells of different texts are paired: no pair of copies is ever made,
+    and no task holds a large group at once. Empty input gives no rows.
     """
     rows = form_classes(docs, key, text)
-    classes = rows.groupBy("form", "norm").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    groups = (
-        classes.groupBy("form")
-        .agg(F.count("*").alias("texts"), F.sum("n").alias("members"), F.min(F.struct("rep", "norm")).alias("first"))
-        .where("texts > 1")
-        .select("form", F.col("first.rep").alias("first_id"), F.col("first.norm").alias("first_norm"), (F.col("members") * (F.col("members") - 1) / 2 <= full_pairs).alias("small"))
-    )
-    members = materialize(rows.distinct().join(groups, "form"), "forms")
-    small = members.where("small").select("form", "norm", "id")
-    other = small.select("form", F.col("norm").alias("norm_b"), F.col("id").alias("id_b"))
-    every = small.join(other, "form").where((F.col("id") < F.col("id_b")) & (F.col("norm") != F.col("norm_b"))).select(F.col("id").alias("id_a"), "id_b")
-    large = members.where("not small")
-    star = large.where("norm <> first_norm").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
-    reps = large.where("norm <> first_norm").groupBy("form").agg(F.min("id").alias("rep"))
-    back = large.where("norm = first_norm").join(reps, "form").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    linked = star.unionByName(back).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).where("id_a < id_b")
-    return every.unionByName(linked).distinct()
+    classes = rows.groupBy("form", "norm").agg(F.count("*").alias("n"))
+    several = classes.groupBy("form").agg(F.count("*").alias("texts")).where("texts > 1").select("form")
+    parts = F.ceil(F.col("n") / max(1, math.isqrt(full_pairs)))
+    members = rows.distinct().join(classes.join(several, "form").select("form", "norm", parts.alias("parts")), ["form", "norm"])
+    placed = members.select("form", "norm", "id", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    cells = materialize(placed.groupBy("form", "norm", "part").agg(F.collect_list("id").alias("ids")).select("form", "norm", "ids"), "forms")
+    other = cells.select("form", F.col("norm").alias("norm_b"), F.col("ids").alias("ids_b"))
+    pairs = cells.join(other, "form").where("norm < norm_b").select(F.explode("ids").alias("a"), "ids_b").select("a", F.explode("ids_b").alias("b"))
+    return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).where("id_a < id_b").distinct()
 
 
 def _consistent_series(text: pd.Series) -> pd.Series:

@@ -53,6 +53,14 @@ def test_look_alike_pairs(spark):
     assert shown[1] == shown[3] and shown[5] is None
 
 
+def test_look_alike_pairs_of_many_copies(spark):
+    nbsp, cyrillic = "some" + chr(0xA0) + "plain text", "som" + chr(0x435) + " plain text"
+    texts = {i: "some plain text" for i in range(200)} | {200: nbsp, 201: cyrillic, 202: cyrillic}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    expected = {(a, b) for a in texts for b in texts if a < b and texts[a] != texts[b]}
+    assert {tuple(r) for r in textform.look_alike_pairs(docs).collect()} == expected and {(200, 201), (200, 202), (7, 201)} < expected
+
+
 def test_split_properties():
     rng = random.Random(3)
     pieces = ["word ", "longerword ", "end. ", "clause, ", "x" * 30 + " ", "y" * 400]
