@@ -3,21 +3,23 @@
 A stretch of ``LEAST`` characters that two records share has the same smallest 120-character gram
 in both (winnowing: the grams of each window that hash lowest are its anchors). So
 
-1. one pass over the texts gives their anchors; anchors of a single record drop out;
-2. a second pass over the texts that hold an anchor left cuts out each anchor's context, the 360
-   characters in which every window of ``LEAST`` that contains the anchor lies; equal contexts
-   become one row, with the smallest and largest record that hold it;
-3. contexts are spread by anchor over shards of bounded size. Each shard gets an FM-index: suffix
-   array, Burrows-Wheeler transform in a wavelet matrix of packed bits, prefix counts. All contexts
+1. one pass over the texts gives their anchors; anchors of a single record drop out. The smallest
+   and the largest record with an anchor name its *group*: every record with the anchor gives it
+   the same one, and neighbouring anchors of a passage mostly have the same group;
+2. a second pass over the texts that hold an anchor left cuts out their regions: the 360 characters
+   around each anchor, in which every window of ``LEAST`` that contains the anchor lies, united
+   where regions of one group overlap. Equal regions of a group become one row, with the smallest
+   and largest record that hold it;
+3. regions are spread by group over shards of bounded size. Each shard gets an FM-index: suffix
+   array, Burrows-Wheeler transform in a wavelet matrix of packed bits, prefix counts. All regions
    are streamed through it together: backward search extends every match to the left, and where
    no other record's text would remain in the interval, the match is cut at its right end to the
-   parent interval. The matching statistics of ``LEAST`` and above are the shared intervals. An
-   anchor whose records all have the same context needs no search: that context is shared whole;
+   parent interval. The matching statistics of ``LEAST`` and above are the shared intervals;
 4. intervals are laid back on the records and merged.
 
-An anchor in more than ``HOT`` different contexts (a passage in a large part of all records) is
-not given to one shard: for its contexts the windows themselves are counted, with partial
-aggregation, which gives the same intervals. Nothing is dropped.
+A group of more than ``HOT_CHARS`` characters (a passage in a large part of all records) is not
+given to one shard: for its regions the windows themselves are counted, with partial aggregation,
+which gives the same intervals. Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.plans.tables import materialize
+from palimpsest.plans.tables import materialize, release, small_or_merged
 
 LEAST = 240  # characters of a shared stretch
 GRAM = 120  # characters of an anchor; windows of LEAST hold LEAST - GRAM + 1 of them
-HOT = 2000  # contexts of one anchor in a shard
-SHARD_CHARS = 700_000  # characters of a shard
+SHARD_CHARS = 1_000_000  # characters of a shard, to which one group may add its own
+HOT_CHARS = 1_000_000  # characters of a group in a shard
+STREAM = 3 * LEAST  # characters of a region that are searched in one go
 PASS_CHARS = 1_000_000  # characters hashed at once
-BROADCAST_ROWS = 1_000_000  # rows of at most 24 bytes that may be broadcast: 24 MB
+BROADCAST_ROWS = 100_000  # rows of at most 24 bytes that may be broadcast: 2.4 MB
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -122,21 +125,35 @@ def _anchor_pass(batches):
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[who]), pa.array((pos - begin[who]).astype(np.int32))], schema=schema)
 
 
-def _context_pass(batches):
-    """(gram, ctx, id, start, text): the context of each anchor, its place in the record, and its text."""
+def regions(found: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
+    """(group, start, end) of the regions of a text with the anchors (group, position)."""
+    side, out = LEAST - GRAM, []
+    for group, pos in sorted(found):
+        lo, hi = max(0, pos - side), min(length, pos + LEAST)
+        if out and out[-1][0] == group and lo <= out[-1][2]:
+            out[-1] = (group, out[-1][1], hi)
+        else:
+            out.append((group, lo, hi))
+    return out
+
+
+def _region_pass(batches):
+    """(grp, ctx, id, start, text): the regions of each record, a hash of the text among them."""
     import pyarrow as pa
 
-    schema = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("text", pa.string())])
-    side = LEAST - GRAM
+    schema = pa.schema([("grp", pa.int64()), ("ctx", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("text", pa.string())])
     for batch in batches:
-        rows = []
+        rows, size = [], 0
         for i, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-            for a in found:
-                lo = max(0, a["pos"] - side)
-                piece = text[lo : a["pos"] + LEAST]
-                rows.append((a["gram"], xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 63), i, lo, piece))
-        for k in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 20_000]), schema)], schema=schema)
+            for group, lo, hi in regions([(a["grp"], a["pos"]) for a in found], len(text)):
+                piece = text[lo:hi]
+                rows.append((group, xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 63), i, lo, piece))
+                size += len(piece)
+            if size > 16 * PASS_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 _BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)  # the bits below each place of a word
@@ -158,49 +175,61 @@ class Bits:
 
 
 class FMIndex:
-    """FM-index of texts laid end to end, each closed by 0; symbols are dense numbers from 1."""
+    """FM-index of texts laid end to end, each closed by 0; symbols are dense numbers from 1.
+
+    Suffixes are sorted by the first ``STREAM`` symbols or more, which is as long as a match gets.
+    """
 
     def __init__(self, seq: np.ndarray):
         n = len(seq)
         self.n, self.sigma = n, int(seq.max()) + 1
         bits = max(1, int(self.sigma - 1).bit_length())
         first = max(1, 62 // bits)
-        wide = np.concatenate((seq, np.zeros(first, seq.dtype))).astype(np.int64)
         key = np.zeros(n, np.int64)
         for k in range(first):
-            key = key << bits | wide[k : n + k]
+            key <<= bits
+            key[: max(0, n - k)] |= seq[k:]
         span, levels = first, []
-        order = np.argsort(key)
         while True:
+            order = np.argsort(key)
             ordered = key[order]
-            rank = np.empty(n + 1, np.int32)
-            rank[order] = np.cumsum(np.concatenate(([1], ordered[1:] != ordered[:-1])))
-            rank[n] = 0
+            rank = np.zeros(n + 1, np.int32)
+            fresh = np.ones(n, np.int32)
+            np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:], casting="unsafe")
+            rank[order] = np.cumsum(fresh, dtype=np.int32)
             levels.append((span, rank))
-            if rank.max() == n or span >= 2 * LEAST:
+            if rank.max() == n or span >= STREAM:
                 break
             # three ranks in a key where they fit 63 bits, else two: the sorted length triples or doubles
             parts, width = (3, 21) if n < 1 << 21 else (2, 31)
             key = rank[:n].astype(np.int64)
             for k in range(1, parts):
-                shifted = np.zeros(n, np.int64)
-                shifted[: max(0, n - k * span)] = rank[k * span : n]
-                key = key << width | shifted
-            order = np.argsort(key)
+                key <<= width
+                key[: max(0, n - k * span)] |= rank[k * span : n]
             span *= parts
         self.sa = order
-        lcp, i, j = np.zeros(n, np.int32), order[:-1], order[1:]
+        near = order.astype(np.int32)
+        lcp, i, j = np.zeros(n, np.int32), near[:-1].copy(), near[1:].copy()  # i, j: where what is common so far ends
         for span, rank in reversed(levels):
             for _ in range(2):  # a level may match as often as the next one has parts, less one
-                x, y = np.minimum(i + lcp[1:], n), np.minimum(j + lcp[1:], n)
-                same = (rank.take(x) == rank.take(y)) & (x < n) & (y < n)
-                lcp[1:] += np.where(same, span, 0).astype(np.int32)
+                same = rank.take(i) == rank.take(j)
+                same &= (i < n) & (j < n)
+                step = same * np.int32(span)
+                lcp[1:] += step
+                i += step
+                j += step
+                np.minimum(i, n, out=i)
+                np.minimum(j, n, out=j)
+        ended = np.append(seq, [-1]).astype(np.int32)
+        todo = np.arange(n - 1)
         for _ in range(first):  # what is left is shorter than the first span
-            x, y = np.minimum(i + lcp[1:], n - 1), np.minimum(j + lcp[1:], n - 1)
-            same = (seq[x] == seq[y]) & (i + lcp[1:] < n) & (j + lcp[1:] < n)
-            if not same.any():
+            x = ended.take(np.minimum(i[todo], n))
+            todo = todo[(x == ended.take(np.minimum(j[todo], n))) & (x >= 0)]
+            if not todo.size:
                 break
-            lcp[1:] += same
+            lcp[todo + 1] += 1
+            i[todo] += 1
+            j[todo] += 1
         self.lcp = np.append(lcp, np.int32(-1))
         self.lcp[0] = -1
         self.left, self.right = _smaller(self.lcp)
@@ -239,7 +268,7 @@ def _smaller(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(x)
     out = []
     for step, end in ((-1, 0), (1, n - 1)):
-        near = np.clip(np.arange(n) + step, 0, n - 1)
+        near = np.clip(np.arange(n, dtype=np.int32) + np.int32(step), 0, n - 1)
         todo = np.flatnonzero((x[near] >= x) & (near != end))
         while todo.size:
             near[todo] = near[near[todo]]
@@ -248,55 +277,65 @@ def _smaller(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _reach(owner: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """For each place of the suffix array the end from which an interval that begins there has texts of two owners."""
+    n = len(owner)
+    far = np.iinfo(np.int32).max
+    ends = np.arange(1, n + 1, dtype=np.int32)
+    changed = np.full(n + 1, far, np.int32)
+    changed[1:n][owner[1:] != owner[:-1]] = ends[1:][owner[1:] != owner[:-1]]
+    changed = np.minimum.accumulate(changed[::-1])[::-1]  # of a change at this place or behind it
+    many = np.minimum.accumulate(np.where(several, ends, far)[::-1])[::-1]
+    return np.append(np.minimum(changed[1:], many), np.int32(far))
+
+
 def shared_windows(texts: list[str], owners: list[int], several: list[bool]) -> list[list[tuple[int, int]]]:
     """Of each text the intervals made of windows of ``LEAST`` that also lie in a text of another owner.
 
-    ``several``: the text itself is known to belong to more owners, so all its windows are shared.
+    ``several``: the text itself is known to belong to more owners, so it is its own partner.
+    Every text is streamed through the index, in stretches of ``STREAM`` characters that overlap
+    by a window less one; all stretches advance together, each by its own next step.
     """
     lengths = np.array([len(t) for t in texts])
-    codes = [_codes(t) for t in texts]
-    symbols, seq = np.unique(np.concatenate(codes), return_inverse=True)
+    codes = _codes("".join(texts))
+    present = np.zeros(int(codes.max()) + 1, np.int32)
+    present[codes] = 1
+    seq = np.cumsum(present, dtype=np.int32).take(codes)  # dense numbers from 1
     begin = np.cumsum(lengths + 1) - lengths - 1
-    line = np.zeros(int(lengths.sum()) + len(texts), np.int64)
-    place = np.arange(len(seq)) + np.repeat(np.arange(len(texts)), lengths)
-    line[place] = seq + 1
+    line = np.zeros(len(codes) + len(texts), np.int32)
+    line[np.arange(len(seq)) + np.repeat(np.arange(len(texts)), lengths)] = seq
     index = FMIndex(line)
-    who = np.repeat(np.arange(len(texts)), lengths + 1)[index.sa]
-    owner = np.array(owners)[who]
-    # places of the suffix array where the owner changes, and suffixes of texts with several owners
-    changes = np.concatenate(([0], np.cumsum(np.concatenate(([0], owner[1:] != owner[:-1])))))
-    multiple = np.concatenate(([0], np.cumsum(np.array(several)[who])))
-
-    def other(lo, hi):
-        return (hi > lo) & ((changes[np.maximum(hi, 1)] > changes[np.minimum(lo + 1, index.n)]) | (multiple[hi] > multiple[lo]))
-
-    out: list[list[tuple[int, int]]] = [[(0, n)] if s and n >= LEAST else [] for n, s in zip(lengths.tolist(), several)]
-    streams = np.flatnonzero(~np.array(several) & (lengths >= LEAST))
-    streams = streams[np.argsort(-lengths[streams], kind="stable")]
-    lo, hi, size = np.zeros(len(streams), np.int64), np.full(len(streams), index.n, np.int64), np.zeros(len(streams), np.int64)
+    who = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + 1)[index.sa]
+    reach = _reach(np.unique(np.array(owners), return_inverse=True)[1].astype(np.int32)[who], np.array(several)[who])
+    cut = STREAM - LEAST + 1
+    counts = np.where(lengths >= LEAST, -(-np.maximum(lengths - LEAST + 1, 1) // cut), 0)
+    text = np.repeat(np.arange(len(texts)), counts)
+    first = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * cut
+    stop = begin[text] + first
+    pos = begin[text] + np.minimum(first + STREAM, lengths[text])
+    lo, hi, size = np.zeros(len(text), np.int64), np.full(len(text), index.n, np.int64), np.zeros(len(text), np.int64)
     hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for back in range(1, int(lengths[streams].max(initial=0)) + 1):
-        alive = int(np.searchsorted(-lengths[streams], -back, side="right"))
-        symbol = line[begin[streams[:alive]] + lengths[streams[:alive]] - back]
-        todo = np.arange(alive)
-        while todo.size:
-            new_lo, new_hi = index.extend(symbol[todo], lo[todo], hi[todo])
-            good = other(new_lo, new_hi)
-            done = todo[good]
-            lo[done], hi[done] = new_lo[good], new_hi[good]
-            size[done] += 1
-            todo = todo[~good]
-            root = size[todo] == 0
-            lo[todo[root]], hi[todo[root]] = 0, index.n
-            todo = todo[~root]
-            if todo.size:
-                lo[todo], hi[todo], size[todo] = index.parent(lo[todo], hi[todo])
-        far = np.flatnonzero(size[:alive] >= LEAST)
-        if far.size:
-            hits.append((streams[far], lengths[streams[far]] - back, size[far].copy()))
+    while text.size:
+        new_lo, new_hi = index.extend(line.take(pos - 1), lo, hi)
+        good = new_hi >= reach.take(new_lo)
+        bad = np.flatnonzero(~good)
+        lo, hi = np.where(good, new_lo, lo), np.where(good, new_hi, hi)
+        size += good
+        pos -= good | (size == 0)
+        ended = pos == stop
+        long = np.flatnonzero((size >= LEAST) & (ended | ~good))
+        if long.size:
+            hits.append((text[long], pos[long] - begin[text[long]], size[long]))
+        if bad.size:
+            bad = bad[size[bad] > 0]
+            lo[bad], hi[bad], size[bad] = index.parent(lo[bad], hi[bad])
+        alive = pos - stop + size >= LEAST  # else no window can be completed
+        alive &= ~ended
+        if not alive.all():
+            text, pos, stop, lo, hi, size = (x[alive] for x in (text, pos, stop, lo, hi, size))
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if hits:
-        text, start, length = (np.concatenate(x) for x in zip(*hits))
-        for t, s, n in sorted(zip(text.tolist(), start.tolist(), length.tolist())):
+        for t, s, n in sorted(zip(*(np.concatenate(x).tolist() for x in zip(*hits)))):
             spans = out[t]
             if spans and s <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], max(spans[-1][1], s + n))
@@ -306,59 +345,42 @@ def shared_windows(texts: list[str], owners: list[int], several: list[bool]) ->
 
 
 def _shard_pass(batches):
-    """Rows in the order of gram; yields (gram, ctx, a, b) for the shared intervals of each context."""
+    """Rows in the order of the group; yields (grp, ctx, a, b) for the shared intervals of each region."""
     import pyarrow as pa
 
-    schema = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
-    alone: list[tuple] = []  # results of anchors with one context, the same in all their records
+    schema = pa.schema([("grp", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
     held: list[tuple] = []
-    run: list[tuple] = []
     size = 0
 
     def flush():
-        rows = alone.copy()
-        spans = shared_windows([r[2] for r in held], [r[3] for r in held], [r[3] != r[4] for r in held]) if held else []
-        for (gram, ctx, *_), found in zip(held, spans):
-            rows += ((gram, ctx, a, b) for a, b in found)
+        spans = shared_windows([r[2] for r in held], [r[3] for r in held], [r[3] != r[4] for r in held])
+        rows = [(group, ctx, a, b) for (group, ctx, *_), found in zip(held, spans) for a, b in found]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, schema)], schema=schema)
 
-    def close():
-        if len(run) > 1:
-            held.extend(run)
-            return sum(len(r[2]) + 1 for r in run)
-        if run and run[0][3] != run[0][4] and len(run[0][2]) >= LEAST:
-            alone.append((run[0][0], run[0][1], 0, len(run[0][2])))
-        return 0
-
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if run and row[0] != run[0][0]:
-                size += close()
-                run = []
-                if size > SHARD_CHARS or len(alone) > 20_000:
-                    yield flush()
-                    held, alone, size = [], [], 0
-            run.append(row)
-    close()
-    yield flush()
+            if size > SHARD_CHARS and row[0] != held[-1][0]:
+                yield flush()
+                held, size = [], 0
+            held.append(row)
+            size += len(row[2]) + 1
+    if held:
+        yield flush()
 
 
 def _window_pass(batches):
-    """(h, ctx, gram, at, low, high) of every window of a context, for anchors too frequent for a shard."""
+    """(h, grp, ctx, at, low, high) of every window of a region, for groups too large for a shard."""
     import pyarrow as pa
 
-    schema = pa.schema([("h", pa.binary()), ("gram", pa.int64()), ("ctx", pa.int64()), ("at", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+    schema = pa.schema([("h", pa.binary()), ("grp", pa.int64()), ("ctx", pa.int64()), ("at", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
     for batch in batches:
-        rows = []
-        for gram, ctx, text, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+        for group, ctx, text, low, high in zip(*(c.to_pylist() for c in batch.columns)):
             raw = text.encode("utf-32-le", "surrogatepass")
-            rows += ((xxhash.xxh3_128_digest(raw[4 * s : 4 * (s + LEAST)]), gram, ctx, s, low, high) for s in range(len(text) - LEAST + 1))
-        for k in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 50_000]), schema)], schema=schema)
-
-
-def _checked(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+            for k in range(0, len(text) - LEAST + 1, 50_000):
+                at = range(k, min(k + 50_000, len(text) - LEAST + 1))
+                hashes = [xxhash.xxh3_128_digest(raw[4 * s : 4 * (s + LEAST)]) for s in at]
+                same = [pa.array([x], pa.int64()).take(pa.array([0] * len(at))) for x in (group, ctx, low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), *same[:2], pa.array(at, pa.int32()), *same[2:]], schema=schema)
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -380,26 +402,28 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(f"id is not null and length(text) >= {LEAST}")
     found = materialize(docs.mapInArrow(_anchor_pass, "gram bigint, id bigint, pos int"), "anchors")
-    shared = materialize(found.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram"), "shared")
-    kept = found.join(_checked(shared, shared.count()), "gram", "left_semi")
-    places = materialize(kept.distinct().groupBy("id").agg(F.collect_list(F.struct("gram", "pos")).alias("found")), "places")
-    total = places.agg(F.sum(F.size("found") + 1)).first()[0] or 0
-    texts = docs.join(_checked(places, total), "id").select("id", "text", "found")
-    contexts = materialize(texts.mapInArrow(_context_pass, "gram bigint, ctx bigint, id bigint, start int, text string"), "contexts")
-    distinct = contexts.groupBy("gram", "ctx").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("text").alias("text"))
-    distinct = materialize(distinct, "distinct").select("gram", "ctx", "text", "low", "high")
-    hot = distinct.groupBy("gram").count().where(F.col("count") > HOT).select("gram")
-    hot = materialize(hot, "hot")
+    shared = materialize(found.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram", F.xxhash64("low", "high").alias("grp")), "shared")
+    kept = found.join(small_or_merged(shared, BROADCAST_ROWS), "gram")
+    places = materialize(kept.groupBy("id").agg(F.collect_set(F.struct("grp", "pos")).alias("found")), "places")
+    sized = places.agg(F.sum(F.size("found") + 1)).first()[0] or 0
+    texts = docs.join(small_or_merged(places, BROADCAST_ROWS, sized), "id").select("id", "text", "found")
+    parts = materialize(texts.mapInArrow(_region_pass, "grp bigint, ctx bigint, id bigint, start int, text string"), "regions")
+    distinct = parts.groupBy("grp", "ctx").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("text").alias("text"))
+    distinct = materialize(distinct.select("grp", "ctx", "text", "low", "high"), "distinct")
+    hot = materialize(distinct.groupBy("grp").agg(F.sum(F.length("text")).alias("chars")).where(F.col("chars") > HOT_CHARS).select("grp"), "hot")
     n_hot = hot.count()
-    calm = distinct.join(_checked(hot, n_hot), "gram", "left_anti") if n_hot else distinct
-    intervals = calm.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shard_pass, "gram bigint, ctx bigint, a int, b int")
+    calm = distinct.join(small_or_merged(hot, BROADCAST_ROWS, n_hot), "grp", "left_anti") if n_hot else distinct
+    chars = calm.agg(F.sum(F.length("text"))).first()[0] or 0
+    intervals = calm.repartition(-(-chars // (2 * SHARD_CHARS)) or 1, "grp").sortWithinPartitions("grp").mapInArrow(_shard_pass, "grp bigint, ctx bigint, a int, b int")
     if n_hot:
-        windows = distinct.join(_checked(hot, n_hot), "gram", "left_semi").mapInArrow(_window_pass, "h binary, gram bigint, ctx bigint, at int, low bigint, high bigint")
+        windows = distinct.join(small_or_merged(hot, BROADCAST_ROWS, n_hot), "grp", "left_semi").mapInArrow(_window_pass, "h binary, grp bigint, ctx bigint, at int, low bigint, high bigint")
         windows = materialize(windows, "windows")
         several = windows.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h")
-        intervals = intervals.unionByName(windows.join(several, "h", "left_semi").select("gram", "ctx", F.col("at").alias("a"), (F.col("at") + LEAST).alias("b")))
-    occurrences = contexts.select("gram", "ctx", "id", "start")
-    spans = materialize(intervals, "intervals").join(occurrences, ["gram", "ctx"]).select("id", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b")).alias("e"))
+        intervals = intervals.unionByName(windows.join(several, "h", "left_semi").select("grp", "ctx", F.col("at").alias("a"), (F.col("at") + LEAST).alias("b")))
+    occurrences = parts.select("grp", "ctx", "id", "start")
+    intervals = materialize(intervals, "intervals")
+    release(found, shared, places, distinct)
+    spans = intervals.join(occurrences, ["grp", "ctx"]).select("id", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b")).alias("e"))
     return merged(spans)
 
 

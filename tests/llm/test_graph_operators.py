@@ -151,7 +151,7 @@ def test_shared_spans_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("gram", F.lit("x")).withColumn("id", F.lit("y"))
     expected = plain_shared(docs, 240)
     assert {tuple(r) for r in sharedspans.shared_spans(df).collect()} == expected and expected
-    monkeypatch.setattr(sharedspans, "HOT", 1)  # every anchor of more than one context takes the way of frequent ones
+    monkeypatch.setattr(sharedspans, "HOT_CHARS", 1)  # every group takes the way of frequent passages
     spans = sharedspans.shared_spans(df)
     assert {tuple(r) for r in spans.collect()} == expected
     amounts = {r.id: r.shared for r in sharedspans.shared_amounts(df.where("doc_id is not null").distinct(), spans).collect()}
