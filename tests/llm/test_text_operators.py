@@ -170,34 +170,53 @@ def test_best_fit_is_tight():
     assert sorted(np.bincount(bins, sizes)) == [100, 512, 512, 512]
 
 
+def held(text):
+    field, blocks = residue.pieces(text)
+    return field or any(any(residue.seeds(block, alone)) for block, alone in blocks)
+
+
 def test_residue_rules_and_decoys():
-    for text in ("Dear {{ first_name }}, welcome", "seasonal runoff «term» near", "[INSERT TITLE HERE]", "Lorem ipsum dolor sit amet, elit sed.", "Error 404: page not found", "Please enable JavaScript to read this text", "xx xx xx", "bla bla bla bla 12ab34cd56"):
-        field, found = residue.pieces(text)
-        assert field or any(map(residue.trusted, found)), text
-    for text in ("Visitors who reached a missing page were counted separately in 1990.", "The handbook explains why readers without JavaScript saw a shorter menu at Praby.", "Les lecteurs de «Hilor» ont signalé 20 pages.", "Prices of $13 to $20 per volume.", "The set { 15, 8, 1996 } is used.", "An appendix counts how often the server answered with status 404."):
-        field, found = residue.pieces(text)
-        assert not field and not any(map(residue.trusted, found)), text
+    for text in (
+        "Dear {{ first_name }}, welcome", "seasonal runoff «term» near", "[INSERT TITLE HERE]", "Lorem ipsum dolor sit amet, elit sed.", "Error 404: page not found", "Please enable JavaScript to read this text", "xx xx xx", "bla bla bla bla 12ab34cd56",
+        "The article you asked for could not be found.", "Your account has been suspended.", "Die Datei wurde gelöscht", "Votre session a expiré.", "El archivo ya no existe", "O servidor não responde.", "Сервер не отвечает", "Dienstfehler: Fehler 503", "Bitte Skripte zulassen", "HTTP 502 Bad Gateway",
+    ):
+        assert held(text), text
+    for text in (
+        "Visitors who reached a missing page were counted separately in 1990.", "The handbook explains why readers without JavaScript saw a shorter menu at Praby.", "Les lecteurs de «Hilor» ont signalé 20 pages.", "Prices of $13 to $20 per volume.", "The set { 15, 8, 1996 } is used.", "An appendix counts how often the server answered with status 404.",
+        "The Rineth site tracks the cost of delayed maintenance before the gauges were moved.", "Уточнённый расчёт подтверждает неравный доступ к колодцам, до закрытия перечня.", "He waited. " * 9 + "The connection was lost. Nobody came back that night, and the office stayed dark.",
+    ):
+        assert not held(text), text
 
 
 def test_filler_of_ordinary_text():
     usual = "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
     for text in (*usual.split(". "), "Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas"):
-        assert any(map(residue.trusted, residue.pieces(text)[1])), text
+        assert held(text), text
     for text in ("Est-ce que le lac est encore libre?", "Sed non satiata is a poem of 1857", "In vitae patrum the monks are named", "a in id at do"):
-        assert not any(map(residue.trusted, residue.pieces(text)[1])), text
+        assert not held(text), text
 
 
 def test_labels_spread_through_near_duplicates(spark):
-    seed = "Please enable JavaScript to read this long and very particular notice of the archive reading room at the old harbour office"
-    near = "Plaese enable JavaScript to read this long and very particular notice of the archive reading room at the old harbour office"
-    far = near.replace("harbour office", "harbour offices").replace("long", "longer")
+    seed = "Please enable JavaScript to read this very particular notice of the archive reading room"
+    near = "Plaese enabel JavaScript to read this very particular notice of the archive reading room"
+    far = near.replace("reading room", "reading rooms").replace("very", "quite a")
     rows = [(1, f"A text.\n{seed}. 12345678ab"), (2, f"Some words first. {near}"), (3, far), (4, "An ordinary sentence about the reading room at the old harbour office"), (5, None), (6, ""), (1, f"A text.\n{seed}. 12345678ab")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("seed", F.lit(1)).withColumn("h", F.lit(2))
-    assert not residue.trusted(residue.masked(near)) and {r.id for r in residue.residue(docs).collect()} == {1, 2, 3}
+    found = {r.id: r.spread_pieces for r in residue.residue(docs).collect()}
+    assert not residue.trusted(residue.masked(near)) and found == {1: 0, 2: 1, 3: 1}
     assert residue.residue(docs.where("false")).count() == 0
     assert {r.doc_id for r in residue.without_residue(docs, residue.residue(docs)).collect()} == {4, 5, 6}
 
 
+def test_labels_spread_through_messages(spark):
+    rows = [
+        (1, "Error 404. Kindly walk back to the desk"), (2, "Page not found. Kindly walk back to the desk"), (3, "Kindly walk back to the desk"), (4, "Error 500. This stands beside one only"), (5, "This stands beside one only"),
+        (6, "Error 404. A sentence of many texts"), (7, "Error 500. A sentence of many texts"), *((k, f"A sentence of many texts. And number {chr(60 + k)} of it follows") for k in range(8, 13)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.id for r in residue.residue(docs).collect()} == {1, 2, 3, 4, 6, 7}
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -207,7 +226,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(11)
     words = "the page you asked for could not be found on this server because it was moved by our office last year".split()
     front = [" ".join(rng.choices(words, k=rng.randrange(3, 16))) for _ in range(40)]
@@ -219,10 +238,10 @@ def test_near_duplicates_equal_brute_force(spark):
             other[k : k + rng.randrange(2)] = rng.choice(("", "x", "e", " "))
         texts.append("".join(other))
     expected = {t for t in texts if any(5 * edit_distance(t, f) <= max(len(t), len(f)) for f in front)}
-    spread = spark.createDataFrame(list(enumerate(texts)), "h bigint, piece string")
-    seeds = spark.createDataFrame(list(enumerate(front)), "h bigint, piece string")
-    got = {r.piece for r in residue.near_duplicates(spread, seeds, len(front)).collect()}
-    assert got == expected and 0 < len(expected) < len(set(texts))
+    table = lambda x: spark.createDataFrame([(k, t, bytearray(s)) for k, (t, s) in enumerate(zip(x, residue.simhashes(x)))], "h bigint, piece string, simhash binary")
+    got = {r.piece for r in residue.near_duplicates(table(texts), table(front), len(front)).collect()}
+    assert got <= expected and len(got) >= 0.93 * len(expected) and len(expected) < len(set(texts))
+
 
 
 def test_labels_reach_all_of_the_similarity(spark):
