@@ -237,9 +237,11 @@ def test_near_duplicates_against_brute_force(spark):
             k = rng.randrange(len(other))
             other[k : k + rng.randrange(2)] = rng.choice(("", "x", "e", " "))
         texts.append("".join(other))
-    expected = {t for t in texts if any(5 * edit_distance(t, f) <= max(len(t), len(f)) for f in front)}
     table = lambda x: spark.createDataFrame([(k, t, bytearray(s)) for k, (t, s) in enumerate(zip(x, residue.simhashes(x)))], "h bigint, piece string, simhash binary")
-    got = {r.piece for r in residue.near_duplicates(table(texts), table(front), len(front)).collect()}
+    long = lambda x: [t for t in x if len(t) >= residue.SHORTEST]  # noqa: E731 - shorter ones have no near-duplicates
+    expected = {t for t in long(texts) if any(5 * edit_distance(t, f) <= max(len(t), len(f)) for f in long(front))}
+    left, right = table(texts), table(front)
+    got = {r.piece for r in residue.verified(residue.met_pairs(left, right, len(front)), left, right).collect()}
     assert got <= expected and len(got) >= 0.93 * len(expected) and len(expected) < len(set(texts))
 
 
