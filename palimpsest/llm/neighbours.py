@@ -1,11 +1,12 @@
 """Most similar vectors for every vector (problem 2): a small-world graph for each shard.
 
 Vectors are scaled to length 1; equal directions form one class, and only classes are indexed.
-Shards are the cells of centroids fitted on a bounded sample; a cell above ``SHARD`` classes is
-split. Each shard gets a hierarchical navigable small-world graph, kept as flat arrays (vectors,
+Shards are the cells of centroids fitted on a sample; a cell above ``SHARD`` classes is split. Above
+``FLAT`` cells the centroids are themselves grouped, so a vector is compared with the groups near it
+and their cells only. Each shard gets a hierarchical navigable small-world graph, kept as flat arrays (vectors,
 neighbour numbers of every level) in one row of a table. Every class is a query to all shards
 whose centroid is nearly as close to it as the closest one (within ``MARGIN`` of cosine), in blocks
-of bounded size; the shards' results are merged. Of the true neighbours of a sample of 60,000
+of bounded size, of which a shard has as many as it has queries for; the shards' results are merged. Of the true neighbours of a sample of 60,000
 vectors 99.98 % lay in such shards, which were 2 of 8. Searching and building run over many
 vectors at once.
 """
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.plans.tables import materialize
+from palimpsest.plans.tables import materialize, small_or_merged
 
 SIZE = 64  # dimensions
 NEAREST = 5
@@ -31,6 +32,8 @@ BUILD = 48  # nodes a build search keeps
 SEARCH = 48  # nodes a query keeps
 BATCH = 512
 MARGIN = 0.15  # of cosine to a centroid
+FLAT = 64  # cells that are compared with every vector
+BROADCAST_ROWS = 50_000  # shards, rows of at most 24 bytes that may be broadcast: 1.2 MB
 WIDE = 4  # nodes expanded at once
 KEPT = NEAREST + 3  # classes a shard returns: some more than needed, for ties
 
@@ -228,6 +231,39 @@ def centroids(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return centre.astype(np.float32)
 
 
+class Cells:
+    """Centroids in groups: those of group g stand in rows ``starts[g]`` to ``starts[g + 1]``."""
+
+    def __init__(self, sample: np.ndarray, count: int):
+        groups = 1 if count <= FLAT else math.isqrt(count)
+        self.top = centroids(sample, groups) if len(sample) else np.zeros((1, SIZE), np.float32)
+        own = (sample @ self.top.T).argmax(1) if len(sample) else np.zeros(0, int)
+        parts = []
+        for g in range(len(self.top)):
+            inside = sample[own == g]
+            parts.append(centroids(inside, max(1, round(count * len(inside) / max(len(sample), 1)))) if len(inside) else self.top[g : g + 1])
+        self.centre = np.concatenate(parts)
+        self.starts = np.cumsum([0, *map(len, parts)])
+
+    def near(self, u: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, cosine) of the cells within ``margin`` of the best one of each row, among the groups within ``margin`` of the best group."""
+        above = u @ self.top.T.astype(np.float64)
+        above = above >= above.max(1, keepdims=True) - margin
+        rows, cells, cosines = [], [], []
+        for g in np.flatnonzero(above.any(0)).tolist():
+            r = np.flatnonzero(above[:, g])
+            c = u[r] @ self.centre[self.starts[g] : self.starts[g + 1]].T.astype(np.float64)
+            i, j = np.nonzero(c >= c.max(1, keepdims=True) - margin)
+            rows.append(r[i])
+            cells.append(self.starts[g] + j)
+            cosines.append(c[i, j])
+        row, cell, cosine = np.concatenate(rows), np.concatenate(cells), np.concatenate(cosines)
+        best = np.full(len(u), -2.0)
+        np.maximum.at(best, row, cosine)
+        kept = cosine >= best[row] - margin
+        return row[kept], cell[kept], cosine[kept]
+
+
 def _vectors(column) -> np.ndarray:
     flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, SIZE)
@@ -251,20 +287,24 @@ def latest_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select("id", "cls", "more"), classes
 
 
-def _assign(centre: np.ndarray):
+def _assign(cells: Cells):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             u = _vectors(batch.column(2))
-            cell = (u @ centre.T.astype(np.float64)).argmax(1) if len(u) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int32))], ["cls", "more", "u", "cell"])
+            cell = np.zeros(len(u), np.int32)
+            if len(u):
+                row, near, cosine = cells.near(u, 0.0)
+                order = np.lexsort((-near, cosine))  # the closest last, of equally close ones the first cell
+                cell[row[order]] = near[order]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell)], ["cls", "more", "u", "cell"])
 
     return run
 
 
-def _probe(centre: np.ndarray, parts: np.ndarray, margin: float):
-    """Each query with every shard whose centroid is within ``margin`` of its best."""
+def _probe(cells: Cells, margin: float):
+    """Each query with every cell whose centroid is within ``margin`` of its best."""
 
     def run(batches):
         import pyarrow as pa
@@ -273,13 +313,9 @@ def _probe(centre: np.ndarray, parts: np.ndarray, margin: float):
             u = _vectors(batch.column(2))
             if not len(u):
                 continue
-            cosines = u @ centre.T.astype(np.float64)
-            who, cell = np.nonzero(cosines >= cosines.max(1, keepdims=True) - margin)
-            times = parts[cell]
-            who, cell = np.repeat(who, times), np.repeat(cell, times)
-            part = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+            who, cell, _ = cells.near(u, margin)
             taken = batch.take(pa.array(who))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32))], ["cls", "more", "u", "cell", "part"])
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), pa.array(cell.astype(np.int32))], ["cls", "more", "u", "cell"])
 
     return run
 
@@ -331,18 +367,18 @@ def neighbour_pairs(records: DataFrame, nearest: int = NEAREST, least: float = L
     total = classes.count()
     cells = max(1, -(-total // shard))
     sample = np.array([r.u for r in classes.orderBy(F.xxhash64("cls")).limit(max(SAMPLE, 2 * cells)).select("u").collect()], np.float64).reshape(-1, SIZE)
-    centre = centroids(sample, cells) if len(sample) else np.zeros((1, SIZE), np.float32)
+    centre = Cells(sample, cells)
     placed = materialize(classes.mapInArrow(_assign(centre), "cls bigint, more bigint, u array<double>, cell int"), "cells")
-    parts = np.zeros(len(centre), np.int64)
-    for row in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # one row for each cell
-        parts[row.cell] = -(-row.n // shard)
-    part_of = F.lit(1) if not parts.max(initial=0) else F.element_at(F.array(*map(F.lit, np.maximum(parts, 1).tolist())), F.col("cell") + 1)
-    sharded = placed.withColumn("part", F.pmod(F.xxhash64("more"), part_of).cast("int"))
+    parts = materialize(placed.groupBy("cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts")), "parts")
+    few = small_or_merged(parts, BROADCAST_ROWS)
+    sharded = placed.join(few, "cell").withColumn("part", F.pmod(F.xxhash64("more"), F.col("parts")).cast("int"))
     graphs = materialize(sharded.select("cls", "more", "u", "cell", "part").groupBy("cell", "part").applyInArrow(_build, "cell int, part int, names binary, vectors binary, members array<binary>, near array<binary>"), "graphs")
-    queries = placed.select("cls", "more", "u").mapInArrow(_probe(centre, parts, margin), "cls bigint, more bigint, u array<double>, cell int, part int")
-    blocks = max(1, -(-total // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
-    copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = materialize(placed.select("cls", "more", "u").mapInArrow(_probe(centre, margin), "cls bigint, more bigint, u array<double>, cell int"), "queries")
+    blocks = queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = small_or_merged(materialize(parts.join(blocks, "cell"), "blocks"), BROADCAST_ROWS)
+    queries = queries.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    queries = queries.select("cls", "more", "u", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block")
+    copies = graphs.join(blocks.select("cell", "blocks"), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     on = ["cell", "part", "block"]
     found = copies.groupBy(*on).cogroup(queries.groupBy(*on)).applyInArrow(_search(least), "cls bigint, more bigint, to_cls bigint, to_more bigint, cosine double")
     found = found.where(F.round("cosine", 9) >= least)

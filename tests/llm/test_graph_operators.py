@@ -98,11 +98,13 @@ def test_neighbours_against_brute_force(spark):
     rows = [(k, [float(x) for x in v], "2024-01-02") for k, v in vectors.items()]
     rows += [("r0001", [1.0] * 64, "2024-01-01"), ("bad1", None, "2024-01-01"), ("bad2", [0.0] * 64, None), ("bad3", [float("nan")] * 64, None), ("bad4", [1.0] * 3, None), (None, [1.0] * 64, None), rows[0], ("gone", [1.0] * 64, "2024-01-01"), ("gone", None, "2024-01-03"), ("bad5", [None] * 64, None)]
     df = spark.createDataFrame(rows, "id string, vector array<double>, t string").withColumn("upserted_at", F.col("t").cast("timestamp")).withColumn("cls", F.lit(1))
-    for shard in (8192, 200):
+    for shard in (8192, 200, 8):  # one graph; some; so many that their centroids are grouped
         found = neighbours.neighbour_pairs(df, shard=shard)
         got = {tuple(r) for r in neighbours.linked(found).collect()}
         expected = plain_neighbours(vectors)
         assert len(got & expected) >= 0.97 * len(expected) and len(got) <= 1.03 * len(expected)
+        cells = neighbours.Cells(np.array(list(vectors.values())), -(-941 // shard))
+        assert len(cells.top) == (10 if shard == 8 else 1)
         copies = {r.neighbour for r in found.where("id = 's0050'").collect()}
         assert copies == {"r0000", "s0000", "s0001", "s0002", "s0003"}
     assert neighbours.neighbour_pairs(df.where("false")).count() == 0
