@@ -13,11 +13,14 @@ one length overlap. So there is one small tree for each *cell*: a record enters
 its runs. Rarity comes from run counts in a table of fixed size, summed over all records. Two
 records of similarity 0.6 share a chosen run with a chance of at least 0.45 for each function
 (every changed run may be among the rarest), so they miss each other in all cells with a chance
-below 0.0001, and far less when they are more similar. Surviving pairs are verified exactly.
+below 0.0001, and far less when they are more similar. The worst case is a record that is the other
+one with a passage inserted whose runs are all rarer: there the chance of each function is a third
+at similarity 0.6, and 0.15 % of such pairs are missed; at 0.7 it is 0.001 %. Surviving pairs are verified exactly.
 
 Identical records (same words) are one class throughout; only classes are compared. A cell above
-``TILE`` records is split into blocks that are joined block by block in other tasks, so no task
-holds more than two blocks; nothing is dropped.
+``TILE`` records is split into blocks that are joined block by block, so no task holds more than
+two blocks; nothing is dropped. Which records may have such cells is known from the run counts
+before any cell is shuffled, so a crowded cell never passes whole through one task.
 """
 
 from __future__ import annotations
@@ -31,18 +34,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.textform import word_keys
-from palimpsest.plans.tables import materialize
+from palimpsest.plans.tables import materialize, small_or_merged
 
 RUN = 5  # words in a run
 GROUPS = (64, 128, 256, 512)  # coordinates of a point: at least half as many as runs, while there are more
 KEYS = 16  # cells of a record
+HASH_BITS = 48  # of a run; the rest of 64 numbers the texts of a batch
 RARE = 2 / 3  # the part of a record's runs its cells come from
 COUNTERS = 1 << 18  # counters of run frequency
 FULL = 4000  # what a count of 15 or more stands for in the bound, which is not used for records of more than 128,000 runs
 LEAF = 16  # entries of an R-tree node
 TILE = 4096  # records of a cell in one task
 FULL_CLASS = 100  # members of a class that are expanded into all pairs
-BROADCAST_ROWS = 500_000  # ids of at most 24 bytes that may be broadcast: 12 MB
+BROADCAST_ROWS = 100_000  # ids of at most 24 bytes that may be broadcast: 2.4 MB
 
 _MULTIPLIERS = (np.random.default_rng(5).integers(1, 1 << 62, KEYS + 4, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _word_hash: dict[bytes | str, int] = {}
@@ -54,7 +58,7 @@ def _hash(word: bytes | str) -> int:
 
 
 def _runs(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct run hashes of each text, concatenated, and where each text's begin (with the end)."""
+    """Sorted distinct run hashes (``HASH_BITS`` bits, in the upper end of 64) of each text, concatenated, and where each text's begin (with the end)."""
     known = _word_hash
     if len(known) > 500_000:
         known.clear()
@@ -72,13 +76,12 @@ def _runs(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         mixed ^= mixed >> np.uint64(29)
     owner = np.repeat(np.arange(len(texts)), sizes)
     inside = owner[: n - RUN + 1] == owner[RUN - 1 :]
-    mixed, owner = mixed[inside], owner[: n - RUN + 1][inside]
-    order = np.lexsort((mixed, owner))
-    mixed, owner = mixed[order], owner[order]
-    first = np.ones(len(mixed), bool)
-    first[1:] = (mixed[1:] != mixed[:-1]) | (owner[1:] != owner[:-1])
-    mixed, owner = mixed[first], owner[first]
-    return mixed, np.searchsorted(owner, np.arange(len(texts) + 1))
+    both = owner[: n - RUN + 1][inside].astype(np.uint64) << np.uint64(HASH_BITS) | mixed[inside] >> np.uint64(64 - HASH_BITS)
+    both.sort()
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] != both[:-1]
+    both = both[first]
+    return both << np.uint64(64 - HASH_BITS), np.searchsorted(both >> np.uint64(HASH_BITS), np.arange(len(texts) + 1, dtype=np.uint64))
 
 
 def _class(tbl: str, text: list[bytes] | list[str]) -> int:
@@ -88,6 +91,8 @@ def _class(tbl: str, text: list[bytes] | list[str]) -> int:
 
 def _tokenized(batch, least: int):
     """(tables, ids, word lists) of the texts of a batch with at least ``least`` words."""
+    if len(batch) >= 1 << (64 - HASH_BITS):
+        raise ValueError("spark.sql.execution.arrow.maxRecordsPerBatch must be below 65536")
     out = [(t, i, w) for t, i, x in zip(*(c.to_pylist() for c in batch.columns[:3])) if len(w := word_keys(x)) >= max(least, 1)]
     return tuple(map(list, zip(*out))) or ([], [], [])
 
@@ -165,13 +170,13 @@ class Points:
         return out
 
 
-def _second_pass(frequency: np.ndarray, least: int):
-    """Cell rows (key, cls, n, point); a class leaves a task once."""
+def _second_pass(frequency: np.ndarray, least: int, tile: int):
+    """Cell rows (key, cls, n, point, often); a class leaves a task once. ``often``: a cell of the record may have more than ``TILE`` members."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("point", pa.binary())])
+        schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("point", pa.binary()), ("often", pa.bool_())])
         seen: set[int] = set()
         for batch in batches:
             tbls, _, texts = _tokenized(batch, least)
@@ -188,10 +193,13 @@ def _second_pass(frequency: np.ndarray, least: int):
             size = np.diff(starts)
             owner = np.repeat(np.arange(len(cls)), size)
             # the rarest first: by counter, then by hash, an order all records share
-            order = np.lexsort((runs, frequency[(runs >> np.uint64(46)).astype(np.int64)], owner))
+            often = frequency[(runs >> np.uint64(46)).astype(np.int64)]
+            order = np.argsort(owner.astype(np.uint64) << np.uint64(48) | np.minimum(often, (1 << 20) - 1).astype(np.uint64) << np.uint64(28) | runs >> np.uint64(36))
             rank = np.arange(len(runs)) - np.repeat(starts[:-1], size)
-            rare = runs[order][rank < np.ceil(size * RARE)[owner]]
+            chosen = order[rank < np.ceil(size * RARE)[owner]]
+            rare = runs[chosen]
             begin = np.concatenate(([0], np.cumsum(np.ceil(size * RARE).astype(np.int64))))[:-1]
+            often = np.maximum.reduceat(often[chosen], begin) > tile  # else no cell of the record has more members
             points = _points(runs, starts)
             salt = np.array([xxhash.xxh3_64_intdigest(t) for _, t, _ in fresh], np.uint64)
             keys = []
@@ -200,7 +208,7 @@ def _second_pass(frequency: np.ndarray, least: int):
                 h ^= h >> np.uint64(32)
                 low = np.minimum.reduceat(h * _MULTIPLIERS[KEYS + 2], begin)
                 keys.append((low ^ salt ^ _MULTIPLIERS[k]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(cls, KEYS)), pa.array(np.tile(size, KEYS).astype(np.int32)), pa.array(points * KEYS, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(cls, KEYS)), pa.array(np.tile(size, KEYS).astype(np.int32)), pa.array(points * KEYS, pa.binary()), pa.array(np.tile(often, KEYS))], schema=schema)
 
     return run
 
@@ -287,79 +295,60 @@ def _join_cells(keys, cls, size, points, threshold) -> tuple[np.ndarray, np.ndar
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def _cell_joiner(threshold: float, tile: int | None):
-    """Reads rows in key order; yields candidate pairs, and the rows of cells above ``tile`` as they are."""
+def _cell_joiner(threshold: float):
+    """Reads rows in key order; yields candidate pairs."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("point", pa.binary())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         sent: set[tuple[int, int]] = set()
 
-        def arrays(tables):
+        def joined(tables):
             whole = pa.concat_tables(tables).combine_chunks()
             keys, cls, size = (whole.column(k).to_numpy() for k in ("key", "cls", "n"))
-            return keys, cls, size, Points(whole.column("point").to_pylist())
-
-        def joined(tables):
-            keys, cls, size, points = arrays(tables)
-            x, y = _join_cells(keys, cls, size.astype(np.int64), points, threshold)
+            x, y = _join_cells(keys, cls, size.astype(np.int64), Points(whole.column("point").to_pylist()), threshold)
             fresh = [p for p in dict.fromkeys(zip(x.tolist(), y.tolist())) if p not in sent]
             if len(sent) < 2_000_000:
                 sent.update(fresh)
             if fresh:
-                a, b = zip(*fresh)
-                none = [None] * len(a)
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "key": none, "n": none, "point": none}, schema)
-
-        held, hot = [], None  # rows of the last key, which may go on in the next batch
-
-        def raw(t):
-            none = pa.nulls(len(t), pa.int64())
-            return pa.Table.from_arrays([t.column("cls").cast(pa.int64()), none, t.column("key"), t.column("n"), t.column("point")], schema=schema).combine_chunks().to_batches()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*fresh)], schema=schema)
 
+        held = []  # rows of the last key, which may go on in the next batch
         for batch in batches:
             t = pa.Table.from_batches([batch])
             keys = t.column("key").to_numpy()
-            if hot is not None:
-                same = int(np.searchsorted(keys != hot, True))
-                yield from raw(t.slice(0, same))
-                if same == len(keys):
-                    continue
-                t, keys, hot = t.slice(same), keys[same:], None
             last = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if (keys != keys[-1]).any() else 0
             if last or (held and held[-1].column("key")[0].as_py() != keys[0]):
                 head = t.slice(0, last)
                 yield from joined([*held, head] if len(head) else held)
                 held = []
             held.append(t.slice(last))
-            if tile is not None and sum(map(len, held)) > tile:
-                hot = int(keys[-1])
-                for h in held:
-                    yield from raw(h)
-                held = []
         if held:
             yield from joined(held)
 
     return run
 
 
-def _joined(cells: DataFrame, threshold: float, tile: int | None) -> DataFrame:
-    ordered = cells.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(_cell_joiner(threshold, tile), "a bigint, b bigint, key bigint, n int, point binary")
+def _joined(cells: DataFrame, threshold: float) -> DataFrame:
+    ordered = cells.select("key", "cls", "n", "point").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(_cell_joiner(threshold), "a bigint, b bigint")
 
 
-def _candidates(cells: DataFrame, threshold: float) -> DataFrame:
-    found = materialize(_joined(cells, threshold, TILE), "cells")
-    pairs = found.where("b is not null").select("a", "b")
-    hot = found.where("b is null").select("key", F.col("a").alias("cls"), "n", "point")
-    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("blocks"))
-    if not blocks.isEmpty():
+def _candidates(cells: DataFrame, threshold: float, crowded: bool) -> DataFrame:
+    """Distinct pairs of classes. ``crowded``: some cells may have more than ``TILE`` members; those that do are counted
+    with partial aggregation and spread over their pairs of blocks before their first shuffle."""
+    if crowded:
+        cells = materialize(cells, "cells")
+        many = cells.where("often").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+        blocks = materialize(many.select("key", F.ceil(F.col("n") / (TILE // 2)).cast("int").alias("blocks")), "crowded")
+        few = small_or_merged(blocks, BROADCAST_ROWS)
         own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-        tiles = hot.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tiles = cells.where("often").join(few, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         tiles = tiles.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cls", "n", "point")
-        pairs = pairs.unionByName(_joined(tiles, threshold, None).select("a", "b"))
-    return materialize(pairs.distinct(), "candidates")
+        calm = cells.join(small_or_merged(blocks, BROADCAST_ROWS), "key", "left_anti").select("key", "cls", "n", "point")
+        cells = calm.unionByName(tiles)
+    return materialize(_joined(cells, threshold).distinct(), "candidates")
 
 
 def _set_pass(least: int):
@@ -409,11 +398,11 @@ def near_copies(records: DataFrame, threshold: float = 0.8, least: int = 40) ->
     frequency = np.zeros((64, COUNTERS // 64), np.int32)
     for row in summed.collect():  # 64 rows of 16 kB, whatever the input
         frequency[row.part] = np.frombuffer(row.counts, np.int32)
-    cells = records.mapInArrow(_second_pass(frequency.ravel(), least), "key bigint, cls bigint, n int, point binary")
-    candidates = _candidates(cells, threshold)
+    cells = records.mapInArrow(_second_pass(frequency.ravel(), least, TILE), "key bigint, cls bigint, n int, point binary, often boolean")
+    candidates = _candidates(cells, threshold, bool(frequency.max() > TILE))
     involved = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     chosen = materialize(members.join(involved, "cls").groupBy("cls").agg(F.min(F.struct("tbl", "id")).alias("r")).select("r.tbl", "r.id"), "involved")
-    texts = records.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, ["tbl", "id"], "left_semi")
+    texts = records.join(small_or_merged(chosen, BROADCAST_ROWS), ["tbl", "id"], "left_semi")
     sets = materialize(texts.mapInArrow(_set_pass(least), "cls bigint, runs binary"), "sets")
     sets = sets.join(involved, "cls", "left_semi").dropDuplicates(["cls"])  # an id with two texts brings both
     left = sets.select(F.col("cls").alias("a"), F.col("runs").alias("x"))
