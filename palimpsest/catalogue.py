@@ -345,7 +345,7 @@ def _simhash_sql(source: str, key: str) -> str:
 
 @query(f"WITH {_DOCS}, {_simhash_sql('n', 'doc_id')} SELECT doc_id, lower(printf('%016x', x)) AS simhash FROM sh")
 def simhash_md5(spark, folder):
-    found = fingerprints.simhash_table(tokens.token_table(_docs(spark, folder), "doc_id", "text"), "doc_id")
+    found = fingerprints.simhash_table(tokens.token_values(_docs(spark, folder), "doc_id", "text"), "doc_id")
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("simhash"))
 
 
@@ -360,7 +360,7 @@ def hamming_top(spark, folder):
     """The nearest 20 passages of each test item (a fixed set of 400) within 28 bits."""
     from pyspark.sql import Window
 
-    mark = lambda df, k: fingerprints.simhash_table(tokens.token_table(df, k, "text"), k)
+    mark = lambda df, k: fingerprints.simhash_table(tokens.token_values(df, k, "text"), k)
     items = mark(_items(spark, folder), "item_id").withColumnRenamed("simhash", "x")
     rows = table(spark, folder, "passages").where("text is not null").groupBy("passage_no").agg(normalize_col(F.min("text")).alias("text"))
     pairs = mark(rows, "passage_no").join(F.broadcast(items), F.lit(True)).select("item_id", "passage_no", scores.hamming(F.col("x"), F.col("simhash")).alias("distance"))

@@ -58,6 +58,11 @@ def token_positions(text: Column) -> Column:
     return F.aggregate(F.arrays_zip(gaps.alias("g"), found.alias("t")), start, step, lambda acc: acc["out"])
 
 
+def token_values(df, key: str, text: str):
+    """(key, value): one row for each token, without its place."""
+    return df.select(F.col(key).alias(key), F.explode(tokens(F.col(text))).alias("value"))
+
+
 def token_table(df, key: str, text: str):
     """(key, pos, value, start, end): one row for each token. Offsets are a running sum over a window of the key."""
     from pyspark.sql import Window

@@ -92,7 +92,7 @@ def mean_absolute_error(expected: Column, predicted: Column) -> Column:
 def min_max(df: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
     """The table with ``scaled``: (x - min) / (max - min), 0 if all scores are equal. Two numbers per group are joined back."""
     ends = df.groupBy(*(by or [])).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    joined = df.join(F.broadcast(ends), by) if by else df.crossJoin(ends)  # one row
+    joined = df.join(ends, by) if by else df.crossJoin(ends)  # one row
     return joined.withColumn("scaled", F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
 
 

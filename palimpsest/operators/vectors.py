@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -98,7 +98,11 @@ def merge_top_k(found: DataFrame, query_key: str, key: str, k: int) -> DataFrame
 
 
 def semantic_matches(left: DataFrame, right: DataFrame, key: str, doc: str, min_score: float = MIN_COSINE, k: int = TOP_K) -> DataFrame:
-    """Evidence for chunks with a ``vector``: per suspicious chunk and source document the top ``k``, then ``min_score``."""
+    """Evidence for chunks with a ``vector``: per suspicious chunk and source document the top ``k``, then ``min_score``.
+
+    ``left`` is a stated query set (the chunks of the texts under suspicion) that is compared with
+    all rows of ``right``; each task keeps the best ``k`` before anything is shuffled.
+    """
     names = ("id", "start", "end", "chunk_index", "vector")
     a = left.select(key, *(F.col(c).alias(f"l_{c}") for c in names))
     b = right.select(doc, *(F.col(c).alias(f"r_{c}") for c in names))
@@ -125,6 +129,26 @@ def resolve_sources(evidence: DataFrame, sources: DataFrame, chunk_id: str, sour
     return evidence.join(hit, chunk_id, "left")
 
 
+def cross_encoder(model: str) -> RerankerBackend:
+    """A reranker around an installed cross-encoder library; a clear error where there is none."""
+    try:
+        from sentence_transformers import CrossEncoder
+    except ImportError as exc:
+        raise RuntimeError("Reranking needs the optional sentence-transformers package") from exc
+    loaded = CrossEncoder(model)
+
+    class Backend:
+        def score_pairs(self, pairs: Sequence[tuple[str, str]]) -> list[float]:
+            return [float(x) for x in loaded.predict(list(pairs))]
+
+    return Backend()
+
+
+def ranked(evidence: DataFrame) -> DataFrame:
+    """Evidence from the highest score down, ties in the order of the chunk ids; rows without a score last."""
+    return evidence.orderBy(F.desc_nulls_last("score"), "suspicious_chunk_id", "source_chunk_id")
+
+
 def rerank(evidence: DataFrame, score: Column) -> DataFrame:
     """Evidence with a new score where ``score`` is not null: clamped, rounded, noted in the explanation."""
     given = score.isNotNull()
@@ -136,12 +160,15 @@ def rerank_spans(evidence: DataFrame, left: DataFrame, right: DataFrame, left_ke
     texts = evidence.join(left.select(left_key, F.col("text").alias("_l")), left_key, "left").join(right.select(right_key, F.col("text").alias("_r")), right_key, "left")
     cut = lambda t, s: F.substring(t, F.col(f"{s}_start") + 1, F.col(f"{s}_end") - F.col(f"{s}_start"))
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        known = a.notna() & b.notna()
-        out = pd.Series(np.nan, index=a.index)
-        if known.any():
-            out[known] = make().score_pairs(list(zip(a[known], b[known])))
-        return out.astype(object).where(known, None)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        backend = None  # made once in a task, if any row needs it
+        for a, b in batches:
+            known = a.notna() & b.notna()
+            out = pd.Series(np.nan, index=a.index)
+            if known.any():
+                backend = backend or make()
+                out[known] = backend.score_pairs(list(zip(a[known], b[known])))
+            yield out.astype(object).where(known, None)
 
     scored = texts.withColumn("_new", F.pandas_udf(run, "double")(cut(F.col("_l"), "suspicious"), cut(F.col("_r"), "source")))
     return rerank(scored, F.col("_new")).drop("_l", "_r", "_new")
