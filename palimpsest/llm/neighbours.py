@@ -45,8 +45,8 @@ class Graph:
     them a row of neighbour numbers, filled up with -1.
     """
 
-    def __init__(self, vectors: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]):
-        self.vectors, self.links = vectors, links
+    def __init__(self, vectors: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]], exact: np.ndarray | None = None):
+        self.vectors, self.links, self.exact = vectors, links, exact  # ``exact``: in full precision, for the cosines that are given
         self.row = []
         for members, _ in links:
             row = np.full(len(vectors), -1, np.int32)
@@ -120,13 +120,13 @@ class Graph:
         return _beam(self.vectors, self.links[0][1], queries, start, keep)
 
     def to_row(self) -> tuple[bytes, list[bytes], list[bytes]]:
-        return self.vectors.astype(np.float32).tobytes(), [m.tobytes() for m, _ in self.links], [a.tobytes() for _, a in self.links]
+        return self.exact.tobytes(), [m.tobytes() for m, _ in self.links], [a.tobytes() for _, a in self.links]
 
     @classmethod
     def from_row(cls, vectors: bytes, members: list[bytes], near: list[bytes]) -> Graph:
-        v = np.frombuffer(vectors, np.float32).reshape(-1, SIZE)
+        v = np.frombuffer(vectors, np.float64).reshape(-1, SIZE)
         levels = [(m := np.frombuffer(x, np.int32), np.frombuffer(y, np.int32).reshape(len(m), -1)) for x, y in zip(members, near)]
-        return cls(v, levels)
+        return cls(v.astype(np.float32), levels, v)
 
 
 def _beam(vectors, near, queries, starts, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,8 +281,9 @@ def latest_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     peak = whole.select("id", "v", F.array_max(F.transform("v", F.abs)).alias("peak")).where("peak > 0")
     scaled = peak.select("id", F.transform("v", lambda x: x / F.col("peak")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = scaled.select("id", "v", norm.alias("norm")).select("id", F.transform("v", lambda x: F.round(x / F.col("norm"), 9) + 0.0).alias("u"))
-    members = materialize(unit.select("id", F.xxhash64("u").alias("cls"), F.xxhash64(F.lit(1), "u").alias("more"), "u"), "vectors")
+    unit = scaled.select("id", "v", norm.alias("norm")).select("id", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+    close = F.transform("u", lambda x: F.round(x, 9) + 0.0)  # equal directions may differ in their last digits
+    members = materialize(unit.select("id", F.xxhash64(close).alias("cls"), F.xxhash64(F.lit(1), close).alias("more"), "u"), "vectors")
     classes = members.groupBy("cls", "more").agg(F.first("u").alias("u"))
     return members.select("id", "cls", "more"), classes
 
@@ -324,7 +325,9 @@ def _build(key, table):
     import pyarrow as pa
 
     table = table.sort_by([("cls", "ascending"), ("more", "ascending")])
-    vectors, members, near = Graph.build(_vectors(table.column("u")).astype(np.float32)).to_row()
+    graph = Graph.build((exact := _vectors(table.column("u"))).astype(np.float32))
+    graph.exact = exact
+    vectors, members, near = graph.to_row()
     names = np.stack((table.column("cls").to_numpy(), table.column("more").to_numpy()), 1).tobytes()
     return pa.table({"cell": [key[0]], "part": [key[1]], "names": [names], "vectors": [vectors], "members": pa.array([members], pa.list_(pa.binary())), "near": pa.array([near], pa.list_(pa.binary()))})
 
@@ -345,7 +348,7 @@ def _search(least: float):
                 s = slice(at, at + BATCH)
                 ids, _ = graph.search(queries[s].astype(np.float32))
                 ids = ids[:, : KEPT + 1]
-                exact = np.einsum("qd,qkd->qk", queries[s], graph.vectors[np.maximum(ids, 0)].astype(np.float64))
+                exact = np.einsum("qd,qkd->qk", queries[s], graph.exact[np.maximum(ids, 0)])
                 good = (ids >= 0) & (exact >= least - 1e-4)
                 good &= (names[ids, 0] != cls[s][:, None]) | (names[ids, 1] != more[s][:, None])
                 i, j = np.nonzero(good)
