@@ -2,6 +2,7 @@
 
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -245,6 +246,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert got <= expected and len(got) >= 0.93 * len(expected) and len(expected) < len(set(texts))
 
 
+def test_pairs_that_meet_have_like_counts(spark):
+    rng = random.Random(5)
+    words = "the page you asked for could not be found on this server because it was moved by our office last year".split()
+    front, texts = ([" ".join(rng.choices(words, k=12)) for _ in range(n)] for n in (30, 300))
+    texts += [t[:20] + "x" + t[22:40] + t[41:] for t in front]
+    table = lambda x: spark.createDataFrame([(k, t, bytearray(s)) for k, (t, s) in enumerate(zip(x, residue.simhashes(x)))], "h bigint, piece string, simhash binary")
+    pairs = {(r.h, r.f) for r in residue.met_pairs(table(texts), table(front), len(front)).collect()}
+    assert {(300 + k, k) for k in range(30)} <= pairs
+    grams = lambda t: Counter(a + b for a, b in zip(f" {t}", f"{t} "))
+    for h, f in pairs:  # an edit changes one character and two bigrams
+        a, b = texts[h], front[f]
+        edits = max(len(a), len(b)) // 5
+        assert max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) <= edits + 3
+        assert max((grams(a) - grams(b)).total(), (grams(b) - grams(a)).total()) <= 2 * edits + 8
+    assert residue.bags(["ab", ""]).sum(1).tolist() == [7, 3]
+
+
 
 def test_labels_reach_all_of_the_similarity(spark):
     seed = "Your link has expired, so the page you asked for could not be found on this server"
