@@ -327,3 +327,14 @@ def test_language_of_documents_and_segments(spark, trained):
     got = {tuple(r) for r in language.to_correct(language.label_pairs(pairs, trained)).select("rec_id", "segment", "lang").collect()}
     assert got == {("a", 0, "en"), ("a", 1, "es")}
     assert language.label_documents(docs.where("false"), trained).count() == 0
+
+
+def test_labels_made_in_the_piece_pass(spark, trained):
+    mixed = SENTENCES["en"] + "\n\n" + SENTENCES["ru"]
+    rows = [(1, SENTENCES["de"], "English"), (2, mixed, "en"), (3, "Error 404\n\n" + SENTENCES["fr"], None), (None, SENTENCES["es"], "es"), (5, None, "en"), (6, "", "en"), (7, "12 34", "en"), (8, "{{ title }}", "en"), (1, SENTENCES["de"], "English")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    both = residue.piece_rows(docs, extra=(language.named(F.col("lang")).alias("code"),), beside=language.form_labeller(trained), schema=language.SCHEMA)
+    names = ["rec_id", "segment", "lang", "mixed", "label"]
+    got = sorted(map(tuple, both.where("rec_id is not null").select(names).collect()), key=str)
+    assert got == sorted(map(tuple, language.label_documents(docs, trained).select(names).collect()), key=str) and len(got) == 6
+    assert {tuple(r) for r in residue.residue_of(both).collect()} == {tuple(r) for r in residue.residue(docs).collect()} == {(3, False, 1, 0), (8, True, 1, 0)}
