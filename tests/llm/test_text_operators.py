@@ -197,6 +197,15 @@ def test_filler_of_ordinary_text():
         assert not held(text), text
 
 
+def test_failures_are_searched_where_a_thing_is_named(monkeypatch):
+    for text in ("die datenbank und der mitgliederdienst sind nicht erreichbar", "мы видели что страницы удалены", "nothing lives here", "the river was lost"):
+        assert residue.failure(text) == bool(residue._ADDRESSED.match(text) or any(f.search(text) for f in residue._FAILED)), text
+    monkeypatch.setattr(residue, "_NAMED", tuple((named, parts, None) for named, parts, _ in residue._NAMED))
+    assert not residue.failure("the links of the river were lost and removed")  # no pattern is searched, or None would fail
+    with pytest.raises(AttributeError):
+        residue.failure("the link was removed")
+
+
 def test_labels_spread_through_near_duplicates(spark):
     seed = "Please enable JavaScript to read this very particular notice of the archive reading room"
     near = "Plaese enabel JavaScript to read this very particular notice of the archive reading room"
@@ -317,6 +326,23 @@ def test_gradients_are_those_of_the_loss():
         assert (values[0] - values[1]) / 2e-3 == pytest.approx(grad[name][place], rel=0.1, abs=2e-4)
 
 
+def test_sums_of_the_forward_pass(trained):
+    rng = random.Random(4)
+    texts = [language.prepared(" ".join(rng.choices(SENTENCES[rng.choice(language.LANGUAGES)].split(), k=rng.randrange(60)))) for _ in range(50)] + [b"", b"x"]
+    blocks, mask = language._blocks(texts)
+    grams = trained.grams(blocks)
+    assert np.allclose(trained.summed(grams, mask), (trained.forward(grams, mask) * mask[:, :, None]).sum(1), atol=1e-4)
+
+
+def test_records_are_decided_as_if_alone(trained):
+    records = [[], [SENTENCES["de"]], ["12", "34"], [SENTENCES["en"], SENTENCES["ru"], "5"], [SENTENCES["fr"], "le"], []]
+    got = language.decided_all(records, trained)
+    assert [len(rows) for rows, _ in got] == [0, 1, 0, 3, 1, 0] and [mixed for _, mixed in got] == [False, False, False, True, False, False]
+    for record, (rows, mixed) in zip(records, got):
+        alone = language.decided(record, trained)
+        assert alone[1] == mixed and [(*r[:2], round(r[2], 4)) for r in alone[0]] == [(*r[:2], round(r[2], 4)) for r in rows]
+
+
 def test_language_of_documents_and_segments(spark, trained):
     mixed = SENTENCES["en"] + "\n\n" + SENTENCES["ru"] + "\n\n1234"
     rows = [(1, SENTENCES["de"], "English"), (2, SENTENCES["de"], "de-AT"), (3, mixed, "en"), (4, SENTENCES["ru"], None), (5, None, "en"), (6, "", "en"), (7, "12 34", "en"), (8, SENTENCES["fr"] + " the river", "??")]
