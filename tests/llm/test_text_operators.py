@@ -206,6 +206,14 @@ def test_failures_are_searched_where_a_thing_is_named(monkeypatch):
         residue.failure("the link was removed")
 
 
+def test_expiry_notices_are_seeds_of_any_length():
+    rest = ", so all that you had entered on the pages before this one is lost and has to be entered once more from the beginning"
+    for text in ("Your session has timed out", "Ihre Sitzung ist abgelaufen", "Votre session a expiré", "Su enlace ha caducado", "A sua sessão expirou", "Ваша сессия истекла"):
+        assert residue.trusted(residue.masked(text + rest)), text
+    for text in ("The link has expired", "Your lease has expired", "Your link to the coast expired in our minds", "Your sessions expired"):
+        assert not residue.trusted(residue.masked(text + rest)), text
+
+
 def test_labels_spread_through_near_duplicates(spark):
     seed = "Please enable JavaScript to read this very particular notice of the archive reading room"
     near = "Plaese enabel JavaScript to read this very particular notice of the archive reading room"
