@@ -263,6 +263,35 @@ def test_near_duplicates_against_brute_force(spark):
     assert got <= expected and len(got) >= 0.93 * len(expected) and len(expected) < len(set(texts))
 
 
+def test_no_pair_of_few_different_bits_is_missed(spark):
+    rng = random.Random(3)
+    words = "the page you asked for could not be found on this server because it was moved by our office last year".split()
+    front = [" ".join(rng.choices(words, k=rng.randrange(3, 16))) for _ in range(60)]
+    texts = []
+    for text in front * 12:
+        other = list(text)
+        for _ in range(rng.randrange(1, 2 + len(text) // 6)):
+            other[rng.randrange(len(other))] = rng.choice("xeq ")
+        texts.append("".join(other))
+    marks = {t: np.frombuffer(m, np.uint64) for t, m in zip(front + texts, residue.simhashes(front + texts))}
+    alike = lambda a, b: np.bitwise_count(marks[a] ^ marks[b]).sum() <= residue.HAMMING and 5 * edit_distance(a, b) <= max(len(a), len(b))
+    expected = {(i, k) for i, t in enumerate(texts) for k, f in enumerate(front) if len(t) >= residue.SHORTEST <= len(f) and abs(len(t) - len(f)) * 5 <= max(len(t), len(f)) and alike(t, f)}
+    table = lambda x: spark.createDataFrame([(k, t, bytearray(s)) for k, (t, s) in enumerate(zip(x, residue.simhashes(x)))], "h bigint, piece string, simhash binary")
+    got = {(r.h, r.f) for r in residue.met_pairs(table(texts), table(front), len(front)).collect()}
+    assert expected <= got and len(expected) > 600
+
+
+def test_copies_are_cut_once(spark, monkeypatch):
+    rows = [(k, text) for k, text in enumerate(["Error 404. Go back", "A text of its own", "{{ title }} of a form", None, ""] * 8)] + [(1, "Error 404. Go back"), (0, "Error 404. Go back"), (0, "Page not found"), (None, "Error 404. Go back")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, copies = residue.one_of_each(docs)
+    assert copies is not None and one.distinct().count() == 4 and copies.count() == 27
+    found = {tuple(r) for r in residue.residue(docs).collect()}
+    monkeypatch.setattr(residue, "COPIES", 1.0)
+    assert residue.one_of_each(docs)[1] is None
+    assert found == {tuple(r) for r in residue.residue(docs).collect()} and {r[0] for r in found} == {k for k in range(40) if k % 5 in (0, 2)} | {1}
+
+
 def test_pairs_that_meet_have_like_counts(spark):
     rng = random.Random(5)
     words = "the page you asked for could not be found on this server because it was moved by our office last year".split()
