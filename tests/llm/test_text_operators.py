@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import language, leakage, packing, residue, splitting, textform
+from palimpsest.llm import language, leakage, packing, queries, residue, splitting, textform
 
 CYRILLIC_OF = {b: a for a, b in zip(textform.CYRILLIC, textform.LATIN_OF_CYRILLIC)}
 ENGLISH = "The office of the fine baffled official: a modest flow, and CHECKED cafés (naïve) in 1999.\n\nAnother façade; so, exactly."
@@ -401,3 +401,18 @@ def test_labels_made_in_the_piece_pass(spark, trained):
     got = sorted(map(tuple, both.where("rec_id is not null").select(names).collect()), key=str)
     assert got == sorted(map(tuple, language.label_documents(docs, trained).select(names).collect()), key=str) and len(got) == 6
     assert {tuple(r) for r in residue.residue_of(both).collect()} == {tuple(r) for r in residue.residue(docs).collect()} == {(3, False, 1, 0), (8, True, 1, 0)}
+
+
+def test_copies_are_labelled_once_with_their_own_labels(spark, trained, tmp_path, monkeypatch):
+    texts = [SENTENCES["de"], SENTENCES["en"] + "\n\n" + SENTENCES["ru"], "Error 404\n\n" + SENTENCES["fr"], None, ""]
+    rows = [(k, texts[k % 5], ("de", "en", None, "English", "??")[k % 4]) for k in range(40)] + [(1, texts[1], "ru"), (2, texts[0], "de"), (None, texts[0], "de")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", SENTENCES["en"], SENTENCES["es"], {"language": "en"})], "id string, left_text string, right_text string, metadata map<string,string>").write.parquet(f"{tmp_path}/pair_examples.parquet")
+    monkeypatch.setattr(language, "fit", lambda docs: trained)
+    cut = []
+    pass_of = residue.piece_rows
+    monkeypatch.setattr(residue, "piece_rows", lambda docs, *a, **b: cut.append(docs.count()) or pass_of(docs, *a, **b))
+    plain = lambda df: {tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()}
+    found = plain(queries.p6_labels(spark, str(tmp_path)))
+    monkeypatch.setattr(residue, "COPIES", 1.0)
+    assert found == plain(queries.p6_labels(spark, str(tmp_path))) and len(found) > 20 and cut[0] < 8 < cut[1]
