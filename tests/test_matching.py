@@ -147,6 +147,30 @@ def test_corpus_scan_equals_plain_scan(spark):
     assert expected and got == expected
 
 
+def test_candidates_are_those_that_can_reach_the_score(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"t{i}" for i in range(400)]
+    left = [" ".join(rng.choices(vocabulary, k=rng.choice((2, 9, 40)))) for _ in range(12)] + [""]
+    right = [" ".join(rng.choices(vocabulary, k=rng.choice((2, 9, 40)))) for _ in range(60)]
+    right += [" ".join(w if rng.random() < 0.85 else rng.choice(vocabulary) for w in t.split()) for t in left] + [t[1:-1] for t in left] + [" ".join(rng.sample(t.split(), len(t.split()))) for t in left]
+    table = lambda x, p: spark.createDataFrame([(f"{p}{k}", t) for k, t in enumerate(x)], "id string, text string")
+    a, b = table(left, "l"), table(right, "r")
+    both = a.select(F.col("id").alias("l_id"), F.col("text").alias("x")).crossJoin(b.select(F.col("id").alias("r_id"), F.col("text").alias("y")))
+    needed = {(r.l_id, r.r_id) for r in lexical.scored(both, "x", "y").collect()}
+    got = {(r.l_id, r.r_id) for r in lexical.candidate_chunks(a, b, "id").collect()}
+    assert needed <= got and len(needed) > 12
+    pairs = {(f"l{i}", f"r{k}"): (set(x.split()), set(y.split())) for i, x in enumerate(left) for k, y in enumerate(right)}
+    assert all(len(s & t) * 2 >= min(len(s), len(t)) or len(s & t) >= min(len(s), len(t)) - 2 for s, t in map(pairs.get, got))
+    shuffled = {(f"l{k}", f"r{len(right) - len(left) + k}") for k, t in enumerate(left) if len(set(t.split())) > 20}
+    half = " ".join(f"u{i}" for i in range(20))
+    other = half + "".join(f" v{i}" for i in range(18))
+    assert shuffled <= got  # a shuffled text has the same counts: only its order can rule it out
+    assert lexical.candidate_chunks(table([half], "l"), table([other, other.replace("u", "v", 8)], "r"), "id").count() == 1
+    monkeypatch.setattr(lexical, "CHUNKS", 5)
+    assert got == {(r.l_id, r.r_id) for r in lexical.candidate_chunks(a, b, "id").collect()}
+    assert {(y, x) for x, y in got} == {(r.l_id, r.r_id) for r in lexical.candidate_chunks(b, a, "id").collect()}
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(scores.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]

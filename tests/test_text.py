@@ -123,3 +123,12 @@ def test_first_passage_and_obfuscation(spark):
     for i in (10, 27, 44, 61, 78):
         kept[i], kept[i + 1] = kept[i + 1], kept[i]
     assert row.o == " ".join(kept)
+
+
+def test_texts_are_folded_at_once_or_by_token(spark):
+    chars = [chr(c) for c in range(0x21, 0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [f"Ab{c}Cd X{c}" for c in chars] + ["ΟΔΟΣ Σ ΣΑΣ. ΣΣ", "", None, "Straße İstanbul", "𐐀𐐁 ǅ ﬃ"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    slow = F.transform(F.regexp_extract_all(F.col("text"), F.lit(f"({tokens.TOKEN})"), F.lit(1)), tokens.fold)
+    rows = df.select("text", tokens.tokens(F.col("text")).alias("got"), slow.alias("slow")).where(~F.col("got").eqNullSafe(F.col("slow"))).collect()
+    assert not rows, [(r.text, r.got, r.slow) for r in rows[:20]]
